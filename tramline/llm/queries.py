@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tramline.llm import _common as c
 
@@ -22,12 +21,24 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(c.documents(spark, sf_dir), _vocabulary())
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tramline.llm.simhash import simhash_components
+
+    return simhash_components(c.documents(spark, sf_dir))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tramline.llm.bpe_codec import encode_documents
 
     return encode_documents(c.documents(spark, sf_dir), _vocabulary(), values=False)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tramline.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(c.documents(spark, sf_dir), texts=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
