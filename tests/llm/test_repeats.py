@@ -81,6 +81,22 @@ def windows_brute(rows, window=50):
     return out
 
 
+def bytes_brute(rows, length=200):
+    seen, out = {}, []
+    texts = [(d, (t or "").encode()) for d, t in rows]
+    for _, b in texts:
+        for i in range(len(b) - length + 1):
+            seen[b[i : i + length]] = seen.get(b[i : i + length], 0) + 1
+    for d, b in texts:
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = b"\x01" * length
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        out.append((d, len(b), sum(gone), len(re.findall(b"\x01+", gone)), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
 @pytest.fixture(scope="module")
 def fixture(spark):
     rows = made(160, 5)
@@ -133,6 +149,33 @@ def test_windows(spark, fixture):
         assert got == windows_brute(rows)
 
 
+@pytest.mark.parametrize("piece", [2048, 2])
+def test_bytes(spark, fixture, piece):
+    from tramline.llm.suffix_dedup import suffix_dedup
+
+    rows, docs = fixture
+    got = sorted(tuple(r)[:5] for r in suffix_dedup(docs, piece=piece, cells=1 << 20).collect())
+    assert got == bytes_brute(rows)
+
+
+def test_suffix_array():
+    import numpy as np
+
+    from tramline.llm.suffix_dedup import kasai, suffix_array
+
+    rnd = random.Random(1)
+    for text in (b"a" * 700, b"abab" * 200, bytes(rnd.choice(b"ab\x00") for _ in range(900)), bytes(rnd.randrange(256) for _ in range(500))):
+        data = np.frombuffer(text, np.uint8)
+        sa = suffix_array(data)
+        right = sorted(range(len(text)), key=lambda i: text[i:])
+        assert [text[i:] for i in sa] == [text[i:] for i in right]
+        lcp = kasai(data, sa, 200, lanes=5)
+        for k in range(1, len(sa)):
+            a, b = text[sa[k - 1] :], text[sa[k] :]
+            n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert lcp[k] == min(n, 200)
+
+
 def test_edges(spark):
     from tramline.llm.simhash import simhash_components
     from tramline.llm.substring_dedup import substring_dedup
@@ -141,6 +184,10 @@ def test_edges(spark):
     assert simhash_components(none).count() == 0 and substring_dedup(none).count() == 0
     twice = spark.createDataFrame([(1, "a b " * 60), (1, "a b " * 60), (None, "a b " * 60)], "doc_id long, text string")
     assert sorted(r.n_removed for r in substring_dedup(twice).collect()) == [0, 0, 120]
+    from tramline.llm.suffix_dedup import suffix_dedup
+
+    assert suffix_dedup(none).count() == 0
+    assert [r.n_removed for r in suffix_dedup(twice).collect()] == [240, 240, 240]
     assert [r.component_id for r in simhash_components(twice).collect()] == [1, 1, 1]
 
 
@@ -149,4 +196,5 @@ def test_whole_tables(spark):
 
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{D}/documents.parquet").collect()]
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in q.op7_simhash(spark, D).collect()} == simhash_brute(rows)
+    assert sorted(tuple(r) for r in q.op1_suffix_dedup(spark, D).collect()) == bytes_brute(rows)
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in q.op9_substring_dedup(spark, D).collect()} == windows_brute(rows)

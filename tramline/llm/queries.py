@@ -15,6 +15,12 @@ def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tramline.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(c.documents(spark, sf_dir), texts=False)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tramline.llm.token_counts import token_counts
 
