@@ -27,6 +27,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(c.documents(spark, sf_dir), _vocabulary())
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tramline.llm.toxicity import toxicity
+
+    return toxicity(c.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tramline.llm.quality import quality_rules
+
+    return quality_rules(c.documents(spark, sf_dir))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tramline.llm.simhash import simhash_components
 
