@@ -25,9 +25,9 @@ from tramline.llm import _common as c
 from tramline.llm.token_counts import batches, load
 
 #: Chunks that one worker remembers; beyond it forgets them all (memory bound, not a limit of results).
-MEMO = 200_000
+MEMO = 300_000
 #: Of 256 values of the rolling hash: those below the first cut at white space, those below the second inside a word.
-AT_BREAK, IN_WORD = 236, 4
+AT_BREAK, IN_WORD = 252, 1
 
 
 def stretches(offsets: np.ndarray, raw: np.ndarray, first: int, last: int) -> list[np.ndarray]:
