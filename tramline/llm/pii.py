@@ -69,8 +69,22 @@ REWRITE = re.compile(
     re.IGNORECASE,
 )
 _SPELLED = re.compile(_DIGIT, re.IGNORECASE)
-#: What a text must hold for the transducer to change it: looked for first, as most texts hold none of it.
-_CUE = re.compile(rf"(?-i:[{re.escape(''.join(GLYPHS))}])|[\[({{<]\s{{0,2}}(?:{_AT}|{_DOT})\s{{0,2}}[\])}}>]|\sdot\s|\b{_DIGIT}[ ,-]{{1,2}}{_DIGIT}[ ,-]{{1,2}}{_DIGIT}\b", re.IGNORECASE)
+_GLYPH = re.compile(f"[{re.escape(''.join(GLYPHS))}]")
+_BRACKETED = re.compile(rf"[\[({{<]\s{{0,2}}(?:{_AT}|{_DOT})\s{{0,2}}[\])}}>]", re.IGNORECASE)
+_BARE = re.compile(r"\sdot\s")
+_APART = str.maketrans(",-", "  ")
+
+
+def cue(text: str) -> bool:
+    """Whether the text holds anything the transducer may change: most texts don't, and each look is one fast scan."""
+    if not text.isascii() and _GLYPH.search(text) or _BRACKETED.search(text):
+        return True
+    low = text.lower()
+    if "dot" in low and _BARE.search(low):
+        return True
+    words = low.translate(_APART).split(" ") if "," in low or "-" in low else low.split(" ")
+    spelled = [i for i, w in enumerate(map(str.strip, words)) if w in SPELLED]
+    return any(b - a == 2 for a, b in zip(spelled, spelled[2:], strict=False))
 
 
 def luhn(digits: str) -> bool:
@@ -142,7 +156,7 @@ def rewritten(text: str) -> tuple[str, list[tuple[int, int, int, int]]]:
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    if not _CUE.search(text):
+    if not cue(text):
         return []
     plain, marks = rewritten(text)
     if not marks:
