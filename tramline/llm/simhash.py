@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tramline.llm import _common as c
 from tramline.llm._components import components
@@ -184,8 +185,8 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(link_groups, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, block: int = BLOCK) -> DataFrame:
-    """(id, fingerprint, component_id) of every row; see the module's text."""
+def _prints(docs: DataFrame, id_col: str, text_col: str, shingle: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(id, print) of every row, and :func:`_roots` of them."""
     c.ready(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -194,10 +195,34 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints_of(part.column(1), shingle).view(np.int64))], names=["id", "print"])
 
     rows = c.written(docs.select(id_col, text_col).mapInArrow(scan, f"id {kind}, print long"), "prints")
+    return rows, _roots(rows, block)
+
+
+def _roots(rows: DataFrame, block: int) -> DataFrame:
+    """(print, least, root) of each distinct fingerprint: its least id, and the fingerprint that names its component."""
     classes = rows.groupBy("print").agg(F.min("id").alias("least"))
-    linked = components(links(classes.select("print"), block))
-    # the least document of each component, over the few fingerprints that have a link
-    joined = classes.join(linked.withColumnRenamed("node", "print"), "print", "left")
-    roots = joined.where("root is not null").groupBy("root").agg(F.min("least").alias("of_root"))
-    named = joined.join(roots, "root", "left").select("print", F.coalesce("of_root", "least").alias("component_id"))
+    linked = components(links(classes.select("print"), block)).withColumnRenamed("node", "print")
+    return classes.join(linked, "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, block: int = BLOCK) -> DataFrame:
+    """(id, fingerprint, component_id) of every row; see the module's text."""
+    rows, classes = _prints(docs, id_col, text_col, shingle, block)
+    named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "component_id")
     return rows.join(named, "print").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, block: int = BLOCK) -> DataFrame:
+    """The input with one row of each component: of the smallest id, null being the largest; of rows that share it, one."""
+    rows, classes = _prints(docs, id_col, text_col, shingle, block)
+    winner = F.min(F.struct(F.col("least").isNull(), F.col("least").alias("w_id"), F.col("print").alias("w_print"))).alias("w")
+    won = classes.groupBy("root").agg(winner).select("w.w_id", "w.w_print")
+    at = docs.columns.index(text_col)
+
+    def mark(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fingerprints_of(part.column(at), shingle).view(np.int64))], names=[*part.schema.names, "_print"])
+
+    marked = docs.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField("_print", T.LongType())]))
+    kept = marked.join(won, (F.col("_print") == F.col("w_print")) & F.col(id_col).eqNullSafe(F.col("w_id")), "left_semi")
+    return kept.dropDuplicates([id_col, "_print"]).select(docs.columns)

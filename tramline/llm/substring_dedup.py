@@ -99,7 +99,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hit = windows.join(before, ["whi", "wlo"]).where("least_w < ord").groupBy(*key).agg(F.collect_set("j").alias("js"))
 
     # back to every run: all of it, or the single windows
-    known = classes.select(*key, "least").join(hit, key, "left")
+    # written, so that a run found in very many documents is split by the join with it
+    known = c.written(classes.select(*key, "least").join(hit, key, "left"), "known")
     spans = runs.join(known, key).select(
         "ord", "rid",
         F.when(F.col("ord") > F.col("least"), F.array(F.struct(F.col("at").alias("s"), (F.col("at") + F.col("n") + window - 1).alias("e"))))

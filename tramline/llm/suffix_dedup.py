@@ -313,7 +313,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = shards.mapInArrow(lambda parts: compare_shards(unrepeated(parts), length), "anchor long, hi long, lo long, s int, e int")
     found = found.groupBy(*key).agg(F.collect_set(F.struct("s", "e")).alias("marks"))
 
-    known = classes.select(*key, "times").join(found, key, "left").where("times > 1 or marks is not null")
+    # written, so that a run found in very many documents is split by the join with it
+    known = c.written(classes.select(*key, "times").join(found, key, "left").where("times > 1 or marks is not null"), "known")
     spans = runs.join(known, key).select(
         "id", "rid",
         F.when(F.col("times") > 1, F.array(F.struct(F.col("at").alias("s"), (F.col("at") + F.col("n") + length - 1).alias("e"))))

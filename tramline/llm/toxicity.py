@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tramline.llm import _common as c
 
@@ -273,7 +274,7 @@ def score(docs: DataFrame, model: dict, counts: np.ndarray, threshold: float = T
         return 1 - clean, spaced
 
     if keep:
-        schema = docs.schema.add("toxicity", "double")
+        schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
         at = docs.columns.index(text_col)
 
         def run_keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
