@@ -139,3 +139,35 @@ def test_board_estimates(spark):
     assert {r.journey_id: r.estimate for r in estimates(df).collect()} == {1: None, 2: 50, 3: None, 4: None, 5: None}
     board = spark.createDataFrame([("j", 1, 0, 5), ("j", 2, 1, 1), (None, 3, 0, 1), (None, 4, 0, 1)], "journey_id string, row_id int, rank int, time int")
     assert {r.row_id for r in dedupe(board).collect()} == {1, 3, 4}
+
+
+def test_rules_on_nested_columns(spark):
+    from tramline.operators.transform import apply_rules
+
+    df = spark.createDataFrame([("a", ["x"], {"k": "1"}, 1), ("b", None, None, 2)], "id string, tags array<string>, m map<string,string>, n int")
+    got = {r.id: r for r in apply_rules(df, [{"Match": {"n": "1"}, "Data": {"tags": ["y"], "m": {"k": "2", "z": "3"}, "n": 7, "no": 1}}, {"Match": {"id": "b"}, "Data": {"tags": "z", "m": {"q": "1"}}}]).collect()}
+    assert (got["a"].tags, got["a"].m, got["a"].n) == (["x", "y"], {"k": "2", "z": "3"}, 7)
+    assert (got["b"].tags, got["b"].m, got["b"].n) == (["z"], {"q": "1"}, 2)
+
+
+def test_simplified():
+    from tramline.operators.tracks import simplified
+
+    line = [(0.0, 51.0), (0.01, 51.00001), (0.02, 51.0), (0.02, 51.01)]
+    assert simplified(line, 5.0) == [line[0], line[2], line[3]]
+    assert simplified(line[:1], 5.0) == line[:1] and simplified([(0.0, 0.0)] * 4, 5.0) == [(0.0, 0.0)] * 2
+
+
+def test_batch_stages():
+    from tramline.operators.batch import plan, run
+
+    stages = plan([("p", "publishing"), ("b", "small"), ("a", "small"), ("l", "large")])
+    assert stages == [["a", "b"], ["l"], ["p"]]
+    seen = []
+
+    def job(name):
+        seen.append(name)
+        if name == "l":
+            raise RuntimeError("no")
+
+    assert run(stages, job) == {"a": "done", "b": "done", "l": "failed: no", "p": "done"} and seen[-1] == "p"

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tramline.session import ready
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -98,7 +100,7 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or f.__name__
         if key in REGISTRY:
             raise ValueError(f"{key} is registered twice")
-        REGISTRY[key] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        REGISTRY[key] = lambda spark, sf_dir: f(Tables(ready(spark), sf_dir))
         if sql:
             SQL[key] = sql
         return f
