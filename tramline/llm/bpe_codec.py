@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -71,13 +72,15 @@ def encode_column(path: str, column: pa.Array) -> Iterator[tuple[bytes, str]]:
         rows = []
         for i, bounds in enumerate(stretches(offsets, raw, first, last), first):
             text, at = raw[offsets[i] : offsets[i + 1]].tobytes(), bounds.tolist()
-            rows.append([text[s:e].strip(c.WORD_BREAKS) for s, e in zip(at, at[1:], strict=False)])
+            # a bound is the white space before a stretch, but for the first
+            rows.append([text[: at[1]], *[text[s + 1 : e] for s, e in zip(at[1:], at[2:], strict=False)]] if len(at) > 1 else [])
         if len(known) > MEMO:
             known.clear()
             known[b""] = (b"", "")
         for own in batches(list(set().union(*rows) - known.keys())):
             for piece, e in zip(own, t.encode_batch_fast([p.decode("utf-8", "replace") for p in own], add_special_tokens=False), strict=True):
-                known[piece] = (np.array(e.ids, "<u4").tobytes(), t.decode(e.ids, skip_special_tokens=False))
+                ids = e.ids
+                known[piece] = (pack(f"<{len(ids)}I", *ids), t.decode(ids, skip_special_tokens=False))
         for row in rows:
             got = [known[p] for p in row]
             yield b"".join([x for x, _ in got]), " ".join([x for _, x in got if x])
