@@ -150,7 +150,7 @@ def anchored_runs(units: np.ndarray, room: np.ndarray, length: int, k: int):
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = gram_hashes(units, k)
-    low = np.uint64((1 << int(n).bit_length()) - 1)
+    low = np.uint64((1 << 34) - 1)  # the same in every slice, so that ties of the upper bits fall alike everywhere
     m = sliding_min((h & ~low) | np.arange(n, dtype=np.uint64), length - k + 1)
     anchor = (m & low).astype(np.int64)
     valid = room >= length
