@@ -7,6 +7,8 @@ the vectorised hashing that several operators need.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import sys
 import uuid
@@ -25,6 +27,7 @@ IS_BREAK[list(WORD_BREAKS)] = True
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 SLICE_BYTES = 1 << 20
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -36,9 +39,19 @@ def ready(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
     if _ROOT not in sys.path:
         sys.path.append(_ROOT)
+    # texts are long: Arrow batches of the default number of rows would hold tens of megabytes on either side
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
     return spark
 
 
+def trim() -> None:
+    """Give memory that a pass over a partition has freed back to the system; a worker lives on for other passes."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
     top = spark.conf.get("spark.checkpoint.dir", None)

@@ -26,7 +26,7 @@ from tramline.llm import _common as c
 from tramline.llm.token_counts import batches, load
 
 #: Chunks that one worker remembers; beyond it forgets them all (memory bound, not a limit of results).
-MEMO = 300_000
+MEMO = 150_000
 #: Of 256 values of the rolling hash: those below the first cut at white space, those below the second inside a word.
 AT_BREAK, IN_WORD = 252, 1
 
@@ -91,11 +91,11 @@ def decode_ids(path: str, ids: bytes) -> str:
     return load(path).decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", values: bool = True) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of every row, with ids (binary, little-endian) and decoded where ``values``."""
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", values: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of every row, with ids (binary, little-endian) and decoded as asked for in ``values``."""
     c.ready(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * values
+    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ("ids" in values) + ", decoded string" * ("decoded" in values)
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
@@ -104,9 +104,13 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 got = list(encode_column(path, part.column(1)))
                 columns = [part.column(0), pa.array([len(a) // 4 for a, _ in got], pa.int64()), pa.array([hashlib.sha256(a).hexdigest() for a, _ in got], pa.string()), pa.array([hashlib.sha256(b.encode()).hexdigest() for _, b in got], pa.string())]
                 names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-                if values:
-                    columns += [pa.array([a for a, _ in got], pa.binary()), pa.array([b for _, b in got], pa.string())]
-                    names += ["ids", "decoded"]
+                if "ids" in values:
+                    columns.append(pa.array([a for a, _ in got], pa.binary()))
+                    names.append("ids")
+                if "decoded" in values:
+                    columns.append(pa.array([b for _, b in got], pa.string()))
+                    names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        c.trim()
 
     return docs.select(id_col, text_col).mapInArrow(encode, schema)

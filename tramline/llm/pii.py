@@ -244,5 +244,6 @@ def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = None)
             if size >= 0:
                 columns[size] = pa.array([None if t is None else len(t) for t in texts], part.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+        c.trim()
 
     return docs.mapInArrow(run, docs.schema)

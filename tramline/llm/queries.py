@@ -60,7 +60,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tramline.llm.bpe_codec import encode_documents
 
-    return encode_documents(c.documents(spark, sf_dir), _vocabulary(), values=False)
+    return encode_documents(c.documents(spark, sf_dir), _vocabulary(), values=())
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,6 +193,7 @@ def _prints(docs: DataFrame, id_col: str, text_col: str, shingle: int, block: in
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints_of(part.column(1), shingle).view(np.int64))], names=["id", "print"])
+        c.trim()
 
     rows = c.written(docs.select(id_col, text_col).mapInArrow(scan, f"id {kind}, print long"), "prints")
     return rows, _roots(rows, block)
@@ -222,6 +223,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     def mark(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fingerprints_of(part.column(at), shingle).view(np.int64))], names=[*part.schema.names, "_print"])
+        c.trim()
 
     marked = docs.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField("_print", T.LongType())]))
     kept = marked.join(won, (F.col("_print") == F.col("w_print")) & F.col(id_col).eqNullSafe(F.col("w_id")), "left_semi")

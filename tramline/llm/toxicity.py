@@ -49,7 +49,8 @@ WORD = re.compile(r"[^\W\d_]+")
 SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 SIGNS = re.compile("[" + re.escape("".join(LOOKS_LIKE) + SEPARATORS.replace(" ", "")) + "]")
-MEMO = 200_000
+#: Tokens that one pass remembers; beyond it forgets them all (memory bound, not a limit of results).
+MEMO = 100_000
 
 #: Letters of the language model: a to z, then Latin letters with marks (U+00DF to U+00FF), 0 is a word's edge.
 _CODES = np.zeros(0x180, np.int64)
@@ -168,14 +169,17 @@ class Reader:
         if got is None:
             if len(self.memo) > MEMO:
                 self.memo.clear()
-            out = {w.lower() for w in WORD.findall(token)}
-            if part := disguised(token):
-                out.add(self.restore(part))
-                # a copy of a letter may be part of the word
-                out.add(TRIPLE.sub(r"\1", part.lower()))
-            got = self.memo[token] = tuple(out)
+            got = self.memo[token] = self.fresh(token)
         return got
 
+    def fresh(self, token: str) -> tuple[str, ...]:
+        out = {w.lower() for w in WORD.findall(token)}
+        if part := disguised(token):
+            out.add(self.restore(part))
+            # a copy of a letter may be part of the word
+            out.add(TRIPLE.sub(r"\1", part.lower()))
+        return tuple(out)
+
     def spaced(self, text: str) -> list[str]:
         out = []
         for m in SPACED.finditer(text):
@@ -261,7 +265,7 @@ def score(docs: DataFrame, model: dict, counts: np.ndarray, threshold: float = T
             if got is None:
                 if len(known) > MEMO:
                     known.clear()
-                words = reader.words(token)
+                words = reader.fresh(token)
                 got = known[token] = tuple(f for w in words for f in beginnings(w) if f in lexicon)
             if got:
                 hits.update(got)
@@ -282,6 +286,8 @@ def score(docs: DataFrame, model: dict, counts: np.ndarray, threshold: float = T
             for part in parts:
                 s = [of(reader, known, t)[0] for t in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*part.schema.names, "toxicity"])
+            del reader, known  # before the memory is given back
+            c.trim()
 
         return docs.mapInArrow(run_keep, schema)
 
