@@ -42,6 +42,8 @@ LINE_STATUS = {
     "Warning": ("Bus Service", "Exit Only", "Change of frequency", "Diverted", "Not Running", "Issues Reported"),
 }
 GOOD_STATUS = ("Good Service", "No Issues")
+#: Form encoding to what a segment of a path has instead.
+SEGMENT = (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%3A", ":"), ("%40", "@"), ("%24", "$"), ("%26", "&"), ("%3D", "="), ("%2B", "+"))
 #: Types of events a commute subscribes to.
 COMMUTE_EVENTS = ("ServiceAlertCreated", "RealtimeJourneyCancelled", "RealtimeJourneyOverlayCreated", "RealtimeJourneyDelayed", "RealtimeJourneyPlatformSet", "RealtimeJourneyPlatformChanged")
 
@@ -70,7 +72,8 @@ def alert_reference(identifiers: Column, references: Column) -> Column:
 
 def target_path(kind: Column, identifier: Column, date: Column) -> Column:
     """Where a notice leads: the stop, service or journey it is about; empty if about none."""
-    place = F.concat(F.lit("/"), kind, F.lit("s/"), F.url_encode(identifier))
+    segment = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), SEGMENT, F.url_encode(identifier))
+    place = F.concat(F.lit("/"), kind, F.lit("s/"), segment)
     tail = F.when((kind == "journey") & date.isNotNull(), F.concat(F.lit("?date="), date)).otherwise("")
     return F.coalesce(F.when(kind.isin("stop", "service", "journey"), F.concat(place, tail)), F.lit(""))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tramline.operators import alerts, places, railway
+from tramline.operators import alerts, linking, places, railway
 from tramline.plans.base import query, with_
 
 SCHEDULES = "s AS (SELECT o_orderkey AS uid, CAST(o_orderdate AS DATE) AS d0, CASE o_orderpriority WHEN '1-URGENT' THEN '1111100' WHEN '2-HIGH' THEN '0000011' ELSE '1111111' END AS days FROM orders), e AS (SELECT uid, d0 + CAST(i AS INTEGER) AS d, d0 + 9 AS last, days FROM s, generate_series(0, 9) g(i) WHERE substr(days, isodow(d0 + CAST(i AS INTEGER)), 1) = '1')"
@@ -354,3 +354,46 @@ def pl_config(t):
     """Plans default to 5 and end at 20; changes allow one leg more, and negative ones four legs."""
     n, changes = F.col("o_orderkey") % 30, F.col("o_custkey") % 7 - 2
     return t.orders.select("o_orderkey", F.when(n <= 0, 5).otherwise(F.least(n, F.lit(20))).alias("plans"), F.when(changes < 0, 4).otherwise(changes + 1).alias("legs"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey % 2 = 0 OR CAST(o_orderdate AS TIMESTAMP) >= TIMESTAMP '1998-03-01 12:00:00'")
+def sink_publish_journeys(t):
+    """Journeys of data sets published in full, and of the others what changed in the last 24 hours."""
+    return t.orders.where("o_custkey % 2 = 0 or o_orderdate >= timestamp_ntz'1998-03-02 12:00:00' - interval 24 hours").select("o_orderkey", "o_custkey")
+
+
+@query("WITH k AS (SELECT p_brand AS fleet, min(p_type) AS vehicle_type, max(p_size) AS coaches FROM part WHERE p_size > 10 GROUP BY p_brand) SELECT p_partkey, coalesce(CASE WHEN p_partkey % 4 = 0 THEN p_name END, k.vehicle_type) AS vehicle_type, coalesce(nullif(p_size % 3, 0), k.coaches) AS coaches FROM part LEFT JOIN k ON k.fleet = p_brand")
+def fn_rail_enrich(t):
+    """What a train does not say comes from its class's definition."""
+    classes = t.part.where("p_size > 10").groupBy("p_brand").agg(F.min("p_type").alias("of_class"), F.max("p_size").alias("coaches_of_class"))
+    own = F.when(F.col("p_partkey") % 4 == 0, F.col("p_name"))
+    return t.part.join(classes, "p_brand", "left").select("p_partkey", F.coalesce(own, "of_class").alias("vehicle_type"), F.coalesce(F.nullif(F.col("p_size") % 3, F.lit(0)), "coaches_of_class").alias("coaches"))
+
+
+@query(with_("latest", "SELECT vehicle, event_id, ts + INTERVAL 24 HOUR AS until FROM latest WHERE k % 5 <> 0 AND ts + INTERVAL 24 HOUR > TIMESTAMP '2024-01-20 12:00:00'"))
+def st_linx(t):
+    """The last formation of each train for 24 hours; an empty one deletes it."""
+    until = F.col("ts") + F.expr("interval 24 hours")
+    return t.latest().where("k % 5 <> 0").select("vehicle", "event_id", until.alias("until")).where("until > timestamp_ntz'2024-01-20 12:00:00'")
+
+
+@query(with_("messages", "WITH l AS (SELECT vehicle, k, max(event_id) AS trip FROM messages WHERE kind <> 'error' GROUP BY vehicle, k HAVING min(event_id) = max(event_id)) SELECT m.event_id, l.trip FROM messages m JOIN l ON l.vehicle = m.vehicle AND l.k = m.k WHERE m.kind = 'error'"))
+def st_tfl_bus_match(t):
+    """Positions of a vehicle to the one trip its arrivals tell of."""
+    m = t.messages()
+    one = m.where("kind <> 'error'").groupBy("vehicle", "k").agg(F.min("event_id").alias("first"), F.max("event_id").alias("trip")).where("first = trip")
+    return m.where("kind = 'error'").join(one, ["vehicle", "k"]).select("event_id", "trip")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'large' WHEN s_suppkey % 4 = 1 THEN 'medium' ELSE 'small' END AS stage FROM supplier WHERE s_nationkey % 5 <> 0")
+def br_plan(t):
+    """Data sets in the stage of their size, small where it is not known; those for queues and runners of their own are left out."""
+    size = F.when(F.col("s_suppkey") % 4 == 0, "large").when(F.col("s_suppkey") % 4 == 1, "medium").when(F.col("s_suppkey") % 4 == 2, "huge")
+    return t.supplier.where("s_nationkey % 5 <> 0").select("s_suppkey", F.when(size.isin("small", "medium", "large"), size).otherwise("small").alias("stage"))
+
+
+@query(with_("legs", "WITH e AS (SELECT DISTINCT origin, destination FROM legs WHERE journey_id % 40 = 1), r AS (SELECT DISTINCT origin AS stop_id FROM legs WHERE journey_id % 500 = 0 UNION SELECT e.origin FROM e JOIN r ON e.destination = r.stop_id) SELECT stop_id FROM r").replace("WITH ", "WITH RECURSIVE ", 1))
+def pl_incoming_state(t):
+    """Stops from which edges between equal stops lead to a restricted transfer."""
+    restricted = t.legs().where("journey_id % 500 = 0").select(F.col("origin").alias("stop_id"))
+    return linking.reaching(restricted, t.legs().where("journey_id % 40 = 1").select("origin", "destination"))
