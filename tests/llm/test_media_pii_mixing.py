@@ -67,6 +67,23 @@ def test_clean_text_stays():
         assert find(text) == ([], []), text
 
 
+def test_gate_keeps_every_disguise(monkeypatch):
+    """The look for cues is passed by all that the transducer rewrites, and changes no result."""
+    from tramline.llm import pii
+
+    parts = ["jane.doe", "at", "AT", "example.com", "mail", "dot", "com", ".", ",", ", ", "-", " ", "  ", " ", "\n", "(", ")", "[at]", "plus", "+1", "five", "ONE", "six", "ſeven", "fıve", "FİVE", "fünf", "un", "x", "_", "5", "555 2186", "е", "é"]
+    rnd, texts = random.Random(11), []
+    for _ in range(20_000):
+        texts.append("".join(rnd.choice(parts) + rnd.choice(["", "", " "]) for _ in range(rnd.randint(1, 16))))
+    texts += ["write to jane.doe at example.com", "call +1 five, five, five, one, two, three, four, five, six, seven now", "id (one two three)"]
+    assert [t for t in texts if not pii.cue(t) and pii.REWRITE.search(t)] == []
+    gated = [pii.find(t) for t in texts]
+    monkeypatch.setattr(pii, "cue", lambda text: True)
+    assert gated == [pii.find(t) for t in texts]
+    assert [pii.find(f"ask ann at mail dot {end} now")[1] for end in ("com", "nl", "ca")] == [[(4, 0, 20 + len(end))] for end in ("com", "nl", "ca")]
+    assert [[(pii.KINDS[k], t[s:e]) for s, k, e in pii.find(t)[1]] for t in texts[-3:-1]] == [[("email", "jane.doe at example.com")], [("phone", "+1 five, five, five, one, two, three, four, five, six, seven")]]
+
+
 def test_pii_whole_table(spark):
     from tramline.llm.pii import KINDS, redact
     from tramline.llm.queries import op6_pii_spans

@@ -57,7 +57,7 @@ _AT, _DOT = "(?:at|@|arroba|arobase)", r"(?:dot|\.|punkt|point|punto)"
 _OPEN, _SHUT = r"\s{0,3}[\[({<]\s{0,2}", r"\s{0,2}[\])}>]\s{0,3}"
 _NAME = r"[A-Za-z0-9_%+-]{1,64}"
 #: Endings by which "a at b dot c" in bare words is told from prose.
-_ENDING = "(?:com|org|net|edu|gov|info|io|co|de|fr|es|uk|eu|us|example|test|invalid)"
+_ENDING = "(?:com|org|net|edu|gov|mil|int|info|biz|dev|app|io|co|de|fr|es|uk|eu|us|ca|au|nz|ie|nl|ch|se|dk|fi|pl|pt|cz|hu|br|mx|ar|cl|jp|cn|kr|ru|za|example|test|invalid)"
 _BARE_DOT = rf"(?:\s{{1,3}}dot\s{{1,3}}|{_OPEN}{_DOT}{_SHUT}|\.)"
 REWRITE = re.compile(
     rf"(?P<at>{_OPEN}{_AT}{_SHUT})|(?P<dot>{_OPEN}{_DOT}{_SHUT})"
@@ -72,19 +72,27 @@ _SPELLED = re.compile(_DIGIT, re.IGNORECASE)
 _GLYPH = re.compile(f"[{re.escape(''.join(GLYPHS))}]")
 _BRACKETED = re.compile(rf"[\[({{<]\s{{0,2}}(?:{_AT}|{_DOT})\s{{0,2}}[\])}}>]", re.IGNORECASE)
 _BARE = re.compile(r"\sdot\s")
+_BARE_AT = re.compile(rf"\sat\s{{1,3}}(?=(?:{_NAME}{_BARE_DOT}){{1,8}}{_ENDING}\b)", re.IGNORECASE)
+_PLUS = re.compile(rf"plus[ -]{{1,2}}{_DIGIT}")
 _APART = str.maketrans(",-", "  ")
+_NO_WORD = re.compile(r"\W+")
+#: What IGNORECASE takes for an i or an s, and lower() does not.
+_FOLD = str.maketrans("ıİſ", "iis")
 
 
 def cue(text: str) -> bool:
-    """Whether the text holds anything the transducer may change: most texts don't, and each look is one fast scan."""
-    if not text.isascii() and _GLYPH.search(text) or _BRACKETED.search(text):
+    """Whether REWRITE may match anywhere: true wherever it does, seldom elsewhere, as each look is one fast scan."""
+    if not text.isascii() and _GLYPH.search(text) or _BRACKETED.search(text) or _BARE_AT.search(text):
         return True
-    low = text.lower()
-    if "dot" in low and _BARE.search(low):
+    low = (text if text.isascii() else text.translate(_FOLD)).lower()
+    if "dot" in low and _BARE.search(low) or "plus" in low and _PLUS.search(low):
         return True
-    words = low.translate(_APART).split(" ") if "," in low or "-" in low else low.split(" ")
-    spelled = [i for i, w in enumerate(map(str.strip, words)) if w in SPELLED]
-    return any(b - a == 2 for a, b in zip(spelled, spelled[2:], strict=False))
+    words = (low.translate(_APART) if "," in low or "-" in low else low).split()
+    # a digit between two others is a whole word; the first of a row may follow, the last may precede other signs
+    for i in [i for i, w in enumerate(words[1:-1], 1) if w in SPELLED]:
+        if _NO_WORD.split(words[i - 1])[-1] in SPELLED and _NO_WORD.split(words[i + 1])[0] in SPELLED:
+            return True
+    return False
 
 
 def luhn(digits: str) -> bool:
@@ -146,7 +154,7 @@ def rewritten(text: str) -> tuple[str, list[tuple[int, int, int, int]]]:
         if kind == "digits":
             for d in _SPELLED.finditer(text, m.start(), m.end()):
                 # the white space before a digit of the row goes with it
-                put(SPELLED[d.group().lower()], d.start() if d.start() == m.start() else at, d.end())
+                put(SPELLED[d.group().translate(_FOLD).lower()], d.start() if d.start() == m.start() else at, d.end())
         elif kind == "glyph":
             put(GLYPHS.get(m.group()) or GLYPHS.get(m.group().lower(), m.group()), m.start(), m.end())
         else:
