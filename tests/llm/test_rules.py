@@ -101,6 +101,21 @@ def test_held_out_accuracy(spark):
     assert sum(s >= 0.3 for s in bad) >= 0.85 * len(bad) and sum(s >= 0.3 for s in good) <= 0.01 * len(good)
 
 
+def test_strong_disguises_are_read():
+    """Rows of lone characters before punctuation, with wide gaps or beside a one-letter word, and words of more signs than letters."""
+    from tramline.llm import toxicity as t
+
+    counts = np.zeros((64, 64, 64), np.int64)
+    for word in ("idiot", "stupid", "shit", "man", "you"):
+        codes = [0, 0, *map(t.letter, word), 0]
+        for gram in zip(codes, codes[1:], codes[2:]):
+            counts[gram] += 300
+    r = t.Reader(counts)
+    for text, word in (("you i d i o t. ok", "idiot"), ("i  d  i  o  t", "idiot"), ('"i d i o t"', "idiot"), ("a s t u p i d man", "stupid"), ("s t u p i d  i d i o t", "stupid"), ("s t u p i d  i d i o t", "idiot"), ("$h!7", "shit"), ("5h17,", "shit"), ("s h i t", "shit")):
+        assert word in r.features(text), text
+    assert r.features("455 $1,455.17") == set()
+
+
 def test_toxicity_edges(spark):
     from tramline.llm.toxicity import toxicity
 

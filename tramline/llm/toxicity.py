@@ -46,7 +46,9 @@ SEPARATORS = " .-_*~'`,/"
 #: Costs (natural logarithm) of the channel: a sign read as a letter, a separator or a copy read as nothing.
 SIGN, NOTHING = 0.7, 0.3
 WORD = re.compile(r"[^\W\d_]+")
-SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
+#: Lone characters set apart by blanks; a quote or bracket may precede the first, punctuation follow the last.
+SPACED = re.compile(r"(?<!\S)[\"'(\[]?(\S(?:[ \t]+\S){3,})[.,;:!?\"')\]]*(?!\S)")
+BLANKS = re.compile(r"[ \t]{2,}|\t")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 SIGNS = re.compile("[" + re.escape("".join(LOOKS_LIKE) + SEPARATORS.replace(" ", "")) + "]")
 #: Tokens that one pass remembers; beyond it forgets them all (memory bound, not a limit of results).
@@ -134,17 +136,24 @@ class Restorer:
         return min(((spent + cost[a, b, 0], text) for (a, b), (spent, text) in states.items()), default=(0, ""))[1]
 
 
+def readable(part: str) -> int:
+    """How many letters and signs that resemble one a part has; none without a letter, as numbers and prices are no words."""
+    return sum(ch.isalpha() or ch in LOOKS_LIKE for ch in part) if any(map(str.isalpha, part)) else 0
+
+
 def disguised(token: str) -> str | None:
     """The part of a token that may be a disguised word."""
     core = token.strip("\"'.,;:!?#*$%&|<>()[]{}=~`")
     tail = token[len(token.rstrip(".,;:")) - 1 : len(token.rstrip(".,;:"))]
     if TRIPLE.search(core):
         return core
+    if len(core) < 3 and readable(part := token.strip("\"'.,;:?#*&<>)[]{}=~`")) >= 3:
+        return part
     if len(core) < 3 or core.isalpha():
         if token[:1] in "$@(|!" and len(core) > 2 or tail in "$!" and len(core) > 2:
             return token.rstrip(".,;:").rstrip("!") or core
         return None
-    if SIGNS.search(core) and sum(map(str.isalpha, core)) >= 2:
+    if SIGNS.search(core) and (sum(map(str.isalpha, core)) >= 2 or readable(core) >= 3):
         return token.rstrip(".,;:!?") if token[:1] in "$@(|!" else core
     return None
 
@@ -181,11 +190,17 @@ class Reader:
         return tuple(out)
 
     def spaced(self, text: str) -> list[str]:
-        out = []
+        out: set[str] = set()
         for m in SPACED.finditer(text):
-            if sum(map(str.isalnum, m.group())) >= 4:
-                out += [self.restore(m.group()), self.restore(m.group().replace(" ", ""))]
-        return out
+            # the whole row, and what wider gaps set apart in it
+            whole = m.group(1)
+            pieces = BLANKS.split(whole)
+            for piece in {" ".join(whole.split()), *(p for p in pieces if len(p) >= 7)}:
+                # a word of one letter may stand before or after the spaced one
+                for row in {piece, piece[2:], piece[:-2], piece[2:-2]}:
+                    if len(row) >= 7 and (sum(map(str.isalnum, row)) >= 4 or readable(row) >= 4):
+                        out |= {self.restore(row), self.restore(row.replace(" ", ""))}
+        return list(out)
 
     def features(self, text: str | None) -> set[str]:
         text = text or ""
