@@ -3,7 +3,9 @@
 A text is split at safe boundaries, its ASCII white space: no token, contraction,
 special string or Unicode composition of the vocabulary reaches across one.
 Pieces go to the tokenizer in batches of about equal bytes, each distinct piece
-once; only lengths come back.
+once in a while; only lengths come back.  A vocabulary whose tokens may reach
+across white space (sentencepiece, or one that keeps blanks) is asked for whole
+texts, in batches of about equal bytes.
 
 Defined results.  A null or empty text has 0 bytes and 0 tokens.  Every row of
 the input gives one row, repeated rows and null ids included.  A text without
@@ -13,77 +15,29 @@ white space is one piece, whatever its length.  Extra input columns are left out
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tramline.llm import _common as c
+from tramline.llm._encoder import batches, encoder, load
 
-#: Bytes of distinct pieces in one call of the tokenizer.
-BATCH_BYTES = 1 << 18
-#: Pieces that one worker remembers; beyond it forgets them all (memory bound, not a limit of results).
-MEMO = 300_000
 
-
-@lru_cache(maxsize=4)
-def load(path: str):
-    """The tokenizer of a vocabulary file, once in each worker; sequences are not cut or padded."""
-    if path.endswith(".model"):
-        import sentencepiece
-
-        return sentencepiece.SentencePieceProcessor(model_file=path)
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return t
-
-
-def batches(pieces: list[bytes], limit: int = BATCH_BYTES) -> Iterator[list[bytes]]:
-    """Longest first, so that pieces of a batch are of like length and batches of like bytes."""
-    own, size = [], 0
-    for piece in sorted(pieces, key=len, reverse=True):
-        if own and size + len(piece) > limit:
-            yield own
-            own, size = [], 0
-        own.append(piece)
-        size += len(piece)
-    if own:
-        yield own
-
-
-def lengths(path: str, pieces: list[bytes]) -> Iterator[tuple[bytes, int]]:
-    t = load(path)
-    for own in batches(pieces):
-        texts = [p.decode("utf-8", "replace") for p in own]
-        if path.endswith(".model"):
-            yield from zip(own, map(len, t.encode(texts, num_threads=1)), strict=True)
-        else:
-            yield from zip(own, map(len, t.encode_batch_fast(texts, add_special_tokens=False)), strict=True)
-
-
-_memo: dict[str, dict[bytes, int]] = {}
-
-
-def count_column(path: str, column: pa.Array, limit: int = c.SLICE_BYTES) -> np.ndarray:
+def count_column(path: str, column: pa.Array, limit: int = 2 * c.SLICE_BYTES) -> np.ndarray:
     """Token counts of a column of texts."""
     offsets, raw = c.blobs(column)
-    known = _memo.setdefault(path, {})
     out = np.zeros(len(column), np.int64)
-    whole = path.endswith(".model")  # its pieces carry the white space before them
     for first, last in c.slices(offsets, limit):
-        words = [raw[offsets[i] : offsets[i + 1]].tobytes() for i in range(first, last)]
-        words = [[w] if whole and w else w.split() for w in words]
-        if len(known) > MEMO:
-            known.clear()
-        fresh = set().union(*words) - known.keys()
-        known.update(lengths(path, list(fresh)))
-        out[first:last] = [sum(map(known.__getitem__, w)) for w in words]
-        if whole:
-            known.clear()
+        if not path.endswith(".model"):
+            out[first:last] = encoder(path).counts(offsets, raw, first, last)
+            continue
+        # pieces of these vocabularies carry the white space before them
+        texts = [raw[offsets[i] : offsets[i + 1]].tobytes() for i in range(first, last)]
+        known = {}
+        for own in batches(list(set(texts))):
+            known.update(zip(own, map(len, load(path).encode([p.decode("utf-8", "replace") for p in own], num_threads=1)), strict=True))
+        out[first:last] = [known[x] for x in texts]
     return out
 
 
