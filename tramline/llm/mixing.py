@@ -3,9 +3,9 @@
 A source with a share p of all tokens gets the weight p**t / sum(p**t).  The
 exponent t between 0 (all alike) and 1 (as they are) is bisected: the least one
 at which no source is repeated more often than the limit, or the one at which
-the weights have the target entropy.  Weights become budgets in tokens of a total
-under which the source that is repeated least is read once in whole, so that no
-document is lost.
+the weights have the target entropy.  Weights become budgets in tokens: shares of
+the total that is asked for, or, if none is, of the total under which the source
+that is repeated least is read once in whole, so that no document is lost.
 
 A source with a budget of 2.4 times its tokens is read twice in whole, each time
 in another permutation, and then to 0.4 of a third: documents in the order of a
@@ -14,10 +14,12 @@ sums of 2,048 blocks, then of 2,048 blocks within the one that holds the cut,
 then single documents.  So no window holds more than the documents of one such
 block, however large a source is.
 
-Words are tokens here.  Defined results: a null source is a source of its own;
-a source without tokens (empty or null texts) is read once; repeated rows and
-null ids are rows like others, and rows that tie in the hash order stand or fall
-together.  An empty table gives an empty one.
+Tokens are counted by words, or taken from a column of counts that is named.
+Defined results: a null source is a source of its own; a source without tokens
+(empty or null texts) is read once; null counts are 0; repeated rows and null ids
+are rows like others, and rows that tie in the hash order stand or fall together.
+An empty table gives an empty one.  All columns of the input are kept, whatever
+their names; one named like a column that is added (``ADDED``) gives way to it.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from pyspark.sql import Window
 from tramline.llm import _common as c
 
 LIMIT, SEED = 2.0, 7
+#: Columns that are added to the rows.
+ADDED = ("mix_tokens", "mix_weight", "mix_epoch", "mix_place")
 #: Sources whose weights are sent to every task; with more, they are joined by a shuffle.
 SMALL = 20_000
 #: Halvings of the exponent's interval that one pass over the sources decides.
@@ -76,15 +80,16 @@ def exponent(sources: DataFrame, limit: float | None = None, entropy: float | No
     return high
 
 
-def weights(sources: DataFrame, t: float) -> DataFrame:
-    """(src, tokens, weight, epochs) of each source; the least repeated one has one epoch."""
+def weights(sources: DataFrame, t: float, budget: float | None = None) -> DataFrame:
+    """(src, tokens, weight, epochs) of each source, for a budget of tokens in all; without one the least repeated source has one epoch."""
     total = sources.agg(F.sum("tokens"), F.max("tokens")).first()
     if not total[0]:
         return sources.withColumns({"weight": F.lit(0.0), "epochs": F.lit(1.0)})
     p = F.col("tokens") / total[0]
     z = sources.where("tokens > 0").agg(F.sum(F.pow(p, F.lit(t)))).first()[0]
     top = total[1] / total[0]
-    epochs = F.when(F.col("tokens") > 0, F.pow(F.lit(top) / p, F.lit(1 - t))).otherwise(1.0)
+    often = F.pow(F.lit(top) / p, F.lit(1 - t)) if budget is None else F.pow(p, F.lit(t)) / z * float(budget) / F.col("tokens")
+    epochs = F.when(F.col("tokens") > 0, often).otherwise(1.0)
     # a hair under a whole number, from rounding, is that number
     epochs = F.when(F.abs(epochs - F.round(epochs)) < 1e-9, F.round(epochs)).otherwise(epochs)
     return sources.withColumns({"weight": F.when(F.col("tokens") > 0, F.pow(p, F.lit(t)) / z).otherwise(0.0), "epochs": epochs})
@@ -116,32 +121,42 @@ def cuts(rows: DataFrame, sources: DataFrame, bits: int = BLOCK_BITS) -> DataFra
     return state.select(F.col("src").alias("s"), F.expr(f"shiftleft(head, {shift}) - 1").alias("before")).join(found, F.col("s").eqNullSafe(F.col("src")), "left").select(F.col("s").alias("src"), F.coalesce("u", "before").alias("cut"))
 
 
-def mix(docs: DataFrame, limit: float | None = LIMIT, entropy: float | None = None, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, limit: float | None = LIMIT, entropy: float | None = None, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokens_col: str | None = None, budget: float | None = None, add: bool = True) -> tuple[DataFrame, DataFrame]:
     """The mixed rows, and the table of sources.
 
-    Rows have the input's columns and ``mix_tokens``, ``mix_weight``,
-    ``mix_epoch`` and ``mix_place``; reading them in order of mix_place (0 to 1)
-    interleaves the sources evenly.
+    Rows have the input's columns and, if ``add``, those of ``ADDED``; reading
+    them in order of mix_place (0 to 1) interleaves the sources evenly.  Under a
+    ``budget`` (tokens in all) less than the sources hold, rows past it are left out.
     """
     c.ready(docs.sparkSession)
-    row = F.xxhash64(F.col(id_col), F.col(text_col))
-    slim = c.written(docs.select(F.col(source_col).alias("src"), row.alias("row"), words(F.col(text_col)).alias("tokens")), "slim")
+    names = docs.columns
+    own = [f"in_{i}" for i in range(len(names))]  # so that no name of the input meets one of ours
+    docs = docs.toDF(*own)
+    of = lambda name: F.col(own[names.index(name)])
+    count = words(of(text_col)) if tokens_col is None else F.coalesce(of(tokens_col), F.lit(0)).cast("long")
+    row = F.xxhash64(of(id_col), of(text_col))
+    slim = c.written(docs.select(of(source_col).alias("src"), row.alias("row"), count.alias("tokens")), "slim")
     totals = c.written(slim.groupBy("src").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")), "sources")
     t = exponent(totals, limit, entropy)
     n_sources = totals.count()
     near = F.broadcast if n_sources <= SMALL else lambda df: df  # checked size; beyond it, a shuffled join
-    table = weights(totals, t).withColumn("full", F.floor("epochs")).withColumn("rest", (F.col("epochs") - F.col("full")) * F.col("tokens"))
+    table = weights(totals, t, budget).withColumn("full", F.floor("epochs")).withColumn("rest", (F.col("epochs") - F.col("full")) * F.col("tokens"))
     table = c.written(table, "weights")
     part = table.where("rest > 0").select(F.col("src").alias("s"), "full")
     placed = slim.join(near(part), F.col("src").eqNullSafe(F.col("s"))).select("src", order_of(F.col("full"), F.col("row"), seed).alias("u"), "tokens")
-    cut = cuts(placed, table.where("rest > 0"))
-    table = table.join(cut.withColumnRenamed("src", "s"), F.col("src").eqNullSafe(F.col("s")), "left").drop("s")
-    table = c.written(table.withColumn("cut", F.coalesce("cut", F.lit(-1).cast("long"))), "mix")
-
-    own = table.select(F.col("src").alias("_src"), F.col("weight").alias("mix_weight"), F.col("epochs").alias("_epochs"), F.col("full").alias("_full"), F.col("cut").alias("_cut"))
-    out = docs.join(near(own), F.col(source_col).eqNullSafe(F.col("_src")))
+    with c.tables_of_a_step() as keep:
+        cut = cuts(placed, table.where("rest > 0"))
+        done = table.join(cut.withColumnRenamed("src", "s"), F.col("src").eqNullSafe(F.col("s")), "left").drop("s")
+        done = c.written(done.withColumn("cut", F.coalesce("cut", F.lit(-1).cast("long"))), "mix")
+        keep.append(done)
+    c.forget(slim, totals, table)
+
+    sources = done.select(F.col("src").alias("_src"), F.col("weight").alias("mix_weight"), F.col("epochs").alias("_epochs"), F.col("full").alias("_full"), F.col("cut").alias("_cut"))
+    out = docs.join(near(sources), of(source_col).eqNullSafe(F.col("_src")))
     copies = F.col("_full") + F.when(order_of(F.col("_full"), row, seed) <= F.col("_cut"), 1).otherwise(0)
-    out = out.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+    out = out.withColumn("_copies", copies).where("_copies > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
+    if not add:
+        return out.select(*[F.col(o).alias(n) for o, n in zip(own, names, strict=True)]), done
     place = (F.col("mix_epoch") + order_of(F.col("mix_epoch"), row, seed) / float(1 << 62)) / F.greatest(F.col("_epochs"), F.lit(1.0))
-    out = out.withColumn("mix_place", F.least(place, F.lit(1.0))).withColumn("mix_tokens", words(F.col(text_col)))
-    return out.select(*[docs[x] for x in docs.columns], "mix_tokens", "mix_weight", "mix_epoch", "mix_place"), table
+    out = out.withColumn("mix_place", F.least(place, F.lit(1.0))).withColumn("mix_tokens", count)
+    return out.select(*[F.col(o).alias(n) for o, n in zip(own, names, strict=True) if n.lower() not in ADDED], *ADDED), done

@@ -267,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, counts: np.ndarray, rows: int = FIT_
 
 
 def score(docs: DataFrame, model: dict, counts: np.ndarray, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """(id, held_out, score, predicted, n_spaced) of every row; with ``keep`` the input's columns and a column ``toxicity``."""
+    """(id, held_out, score, predicted, n_spaced) of every row; with ``keep`` the input, all of its columns, without rows whose score reaches the threshold."""
     c.ready(docs.sparkSession)
     lexicon, base = model["lexicon"], model["base"]
 
@@ -293,18 +293,16 @@ def score(docs: DataFrame, model: dict, counts: np.ndarray, threshold: float = T
         return 1 - clean, spaced
 
     if keep:
-        schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
         at = docs.columns.index(text_col)
 
         def run_keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             reader, known = Reader(counts), {}
             for part in parts:
-                s = [of(reader, known, t)[0] for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*part.schema.names, "toxicity"])
+                yield part.filter(pa.array([of(reader, known, t)[0] < threshold for t in part.column(at).to_pylist()], pa.bool_()))
             del reader, known  # before the memory is given back
             c.trim()
 
-        return docs.mapInArrow(run_keep, schema)
+        return docs.mapInArrow(run_keep, docs.schema)
 
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -320,7 +318,7 @@ def score(docs: DataFrame, model: dict, counts: np.ndarray, threshold: float = T
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
-    """Learn from the labelled rows that are not held out, and score every row."""
+    """Learn from the labelled rows that are not held out, and score every row, or with ``keep`` leave out those that reach the threshold."""
     c.ready(docs.sparkSession)
     counts = trigrams(docs)
     model = fit(docs, labels, counts, fit_rows)
