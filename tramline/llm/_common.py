@@ -7,15 +7,20 @@ the vectorised hashing that several operators need.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import gc
 import os
+import re
 import sys
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,30 +58,88 @@ def trim() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.  Where it is unset, one of this machine, for a local master only (tests)."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "/tmp/checkpoints"
     return top.rstrip("/")
 
 
+#: Tables that :func:`written` made and nobody has deleted, by path.
+_tables: dict[str, SparkSession] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder once and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tramline-{name}-{uuid.uuid4().hex}"
+    if not _tables:
+        atexit.register(forget_all)
+    _tables[path] = spark
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tramline_path = path
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the table behind a frame that :func:`written` gave, when nothing reads it any more."""
-    path = getattr(df, "_tramline_path", None)
-    if path:
-        sc = df.sparkSession.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+#: A key is hot with more than this share of a table's rows, so that there are at most 1 / HOT of them.
+HOT = 1 / 1000
+
+
+def hot_keys(table: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:
+    """Keys with more than HOT of the rows of a written table, by ``sizes`` (key, rows): a written table of at most 1 / HOT rows."""
+    return written(sizes.where(F.col("rows") > table.count() * HOT).select(*key), "hot")
+
+
+def split_join(table: DataFrame, known: DataFrame, key: list[str], hot: DataFrame) -> DataFrame:
+    """Inner join with a table of at most one row a key, however many rows a key has.
+
+    Hot keys (see :func:`hot_keys`) are joined where their rows are; only the
+    others are dealt out by key.
+    """
+    near = F.broadcast(known.join(F.broadcast(hot), key))
+    return table.join(near, key).unionByName(table.join(F.broadcast(hot), key, "left_anti").join(known, key))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the tables behind frames that :func:`written` gave, when nothing reads them any more."""
+    for df in frames:
+        path = getattr(df, "_tramline_path", None)
+        if path and _tables.pop(path, None):
+            _delete(df.sparkSession, path)
+
+
+def forget_all() -> None:
+    """Delete what results that are still lazy have read: at the end of the driver."""
+    for path, spark in list(_tables.items()):
+        with contextlib.suppress(Exception):  # the session may be gone
+            _delete(spark, path)
+    _tables.clear()
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no frame needs any more: its cleaner acts when the driver's JVM collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextlib.contextmanager
+def tables_of_a_step(*kept: DataFrame) -> Iterator[list[DataFrame]]:
+    """Delete, at the end, all tables written inside but those appended to the list that is given."""
+    before, keep = set(_tables), list(kept)
+    yield keep
+    stay = {getattr(df, "_tramline_path", None) for df in keep}
+    for path in [p for p in _tables if p not in before and p not in stay]:
+        _delete(spark := _tables.pop(path), path)
+        release(spark)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,6 +239,19 @@ def anchored_runs(units: np.ndarray, room: np.ndarray, length: int, k: int):
     return starts, counts, h[anchor[starts]]
 
 
+def digests(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit digests of stretches of a text."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(text[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts)).view(np.int64)
+
+
+def collapsed(row: np.ndarray, at: np.ndarray, n: np.ndarray, anchor: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First run of each row of equal runs that follow one another without a gap, and how many they are."""
+    follows = (row[1:] == row[:-1]) & (at[1:] == at[:-1] + n[:-1]) & (n[1:] == n[:-1]) & (anchor[1:] == anchor[:-1]) & (d[1:] == d[:-1])
+    first = np.flatnonzero(np.concatenate(([True], ~follows)))
+    return first, np.diff(np.append(first, len(row)))
+
+
 def word_slice(offsets: np.ndarray, raw: np.ndarray, first: int, last: int, lower: bool = False):
     """Words of rows first..last: canonical bytes (each word followed by one space), word start and end offsets in them, and words per row."""
     data = raw[offsets[first] : offsets[last]]

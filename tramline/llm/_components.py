@@ -15,7 +15,7 @@ from tramline.llm._common import forget, written
 
 
 def _state(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
+    return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -32,8 +32,9 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v"))).distinct()
         after = written(small, "links")
+        same = (now := _state(after)) == state and after.join(e, ["u", "v"], "left_anti").isEmpty()
         forget(e)
-        e, before, state = after, state, _state(after)
-        if state == before:
+        e, state = after, now
+        if same:
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -1,10 +1,15 @@
 """Count-min sketches with counters of two bits, merged by blocks on the executors.
 
-A counter says none, once or more often.  It is stored as two bit planes: "once"
-and "twice"; planes of several tasks merge by ``twice = t1 | t2 | (o1 & o2)`` and
-``once = o1 | o2``.  The width is a parameter, so the merged sketch has a proven
-size (depth * cells / 4 bytes) and may be sent to every worker.  An estimate is
-never below the true count: a full sketch prunes less, it loses nothing.
+A counter says none, once or more often.  Blocks of several tasks merge by
+``twice = t1 | t2 | (o1 & o2)`` and ``once = o1 | o2``.  A task sends the places
+that it counted, or bit planes where those are smaller, so its sketch costs no
+more than its keys.  An estimate is never below the true count: a full sketch
+prunes less, it loses nothing.
+
+The width follows the number of keys, so that a counter has at most a quarter of
+a key, up to ``MOST`` counters a row: then the merged plane that every worker gets
+has ``DEPTH * MOST / 8`` bytes (64 MiB), for any input.  Beyond that counters fill
+up and the sketch prunes less.
 """
 
 from __future__ import annotations
@@ -17,72 +22,91 @@ from pyspark.sql import DataFrame
 
 from tramline.llm._common import mix
 
-#: Counters in each of the DEPTH rows: 2 * 2**25 / 4 bytes = 16 MiB in all, for any input.
-CELLS, DEPTH = 1 << 25, 2
-#: Bytes of a plane in one block.
+#: Rows of counters, and least and greatest counters of a row.
+DEPTH, LEAST, MOST = 2, 1 << 20, 1 << 28
+#: Counters in one block: a place in it has two bytes.
 BLOCK = 1 << 16
-_SALTS = [np.uint64(x) for x in (0x8B7A1F3D5C6E9A01, 0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7)]
+#: Counters that a task holds before it sends them.
+HELD = 1 << 21
+_SALTS = [np.uint64(x) for x in (0x8B7A1F3D5C6E9A01, 0xD1B54A32D192ED03)]
+
+
+def width(keys: float) -> int:
+    """Counters of a row for about so many keys: a power of two with room for four each."""
+    return int(min(MOST, max(LEAST, 1 << int(np.ceil(np.log2(max(1.0, 4 * keys)))))))
 
 
 def cells_of(keys: np.ndarray, row: int, cells: int) -> np.ndarray:
     return (mix(keys ^ _SALTS[row]) & np.uint64(cells - 1)).astype(np.int64)
 
 
-def add(counters: np.ndarray, keys: np.ndarray) -> None:
-    """Count keys into an array (depth, cells) of bytes that stop at 2."""
-    for row in range(len(counters)):
-        at, n = np.unique(cells_of(keys, row, counters.shape[1]), return_counts=True)
-        counters[row, at] = np.minimum(counters[row, at] + np.minimum(n, 2), 2)
+def told(at: np.ndarray) -> bytes:
+    """Places in a block, or its bit plane where that is smaller."""
+    if 2 * len(at) < BLOCK // 8:
+        return at.astype(np.uint16).tobytes()
+    plane = np.zeros(BLOCK, bool)
+    plane[at] = True
+    return np.packbits(plane).tobytes()
+
+
+def read(data: bytes) -> np.ndarray:
+    """The bit plane of :func:`told`."""
+    if len(data) == BLOCK // 8:
+        return np.frombuffer(data, np.uint8).copy()
+    plane = np.zeros(BLOCK, bool)
+    plane[np.frombuffer(data, np.uint16)] = True
+    return np.packbits(plane)
+
 
+def sketch(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], cells: int):
+    """A broadcast array (DEPTH, cells / 8) of the merged "twice" plane, over the keys of all rows."""
 
-def sketch(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], cells: int = CELLS, depth: int = DEPTH):
-    """A broadcast array (depth, cells / 8) of the merged "twice" plane, over the keys of all rows."""
+    def send(keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        own = np.concatenate(keys)
+        for row in range(DEPTH):
+            at, n = np.unique(cells_of(own, row, cells), return_counts=True)
+            blocks, heads = np.unique(at >> 16, return_index=True)
+            places, twice = np.split(at & (BLOCK - 1), heads[1:]), np.split(n > 1, heads[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(row * cells // BLOCK + blocks), pa.array([told(x) for x in places], pa.binary()), pa.array([told(x[t]) for x, t in zip(places, twice, strict=True)], pa.binary())], names=["block", "once", "twice"])
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = None
+        held: list[np.ndarray] = []
         for part in parts:
-            for keys in keys_of(part):
-                if counters is None:
-                    counters = np.zeros((depth, cells), np.uint8)
-                add(counters, keys)
-        if counters is None:
-            return
-        size = BLOCK * 8
-        for row in range(depth):
-            for at in range(0, cells, size):
-                own = counters[row, at : at + size]
-                if own.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([(row * cells + at) // size], pa.int64()), pa.array([np.packbits(own >= 1).tobytes()], pa.binary()), pa.array([np.packbits(own >= 2).tobytes()], pa.binary())], names=["block", "once", "twice"])
+            held += keys_of(part)
+            if sum(map(len, held)) > HELD:
+                yield from send(held)
+                held = []
+        if held:
+            yield from send(held)
 
     def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[int, list[np.ndarray]] = {}
         for part in parts:
-            for block, once, twice in zip(part.column(0).to_pylist(), part.column(1), part.column(2), strict=True):
-                o, t = (np.frombuffer(x.as_buffer(), np.uint8) for x in (once, twice))
+            for block, once, twice in zip(*[x.to_pylist() for x in part.columns], strict=True):
+                o, t = read(once), read(twice)
                 if block in held:
                     o0, t0 = held[block]
                     t0 |= t | (o0 & o)
                     o0 |= o
                 else:
-                    held[block] = (o.copy(), t.copy())
-        for block, (o, t) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([o.tobytes()], pa.binary()), pa.array([t.tobytes()], pa.binary())], names=["block", "once", "twice"])
-
-    kind = "block long, once binary, twice binary"
-    parts = df.mapInArrow(scan, kind)
-    merged = parts.repartition("block").mapInArrow(merge, kind).select("block", "twice").collect()  # at most depth * cells / 8 bytes
-    plane = np.zeros(depth * cells // 8, np.uint8)
+                    held[block] = [o, t]
+        for block, (_, t) in held.items():
+            if t.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([told(np.flatnonzero(np.unpackbits(t)))], pa.binary())], names=["block", "twice"])
+
+    parts = df.mapInArrow(scan, "block long, once binary, twice binary")
+    merged = parts.repartition("block").mapInArrow(merge, "block long, twice binary").collect()  # at most DEPTH * cells / 8 bytes
+    plane = np.zeros((DEPTH * cells // BLOCK, BLOCK // 8), np.uint8)
     for r in merged:
-        own = np.frombuffer(r.twice, np.uint8)
-        plane[r.block * BLOCK : r.block * BLOCK + len(own)] = own
-    return df.sparkSession.sparkContext.broadcast(plane.reshape(depth, cells // 8).tobytes())
+        plane[r.block] = read(r.twice)
+    return df.sparkSession.sparkContext.broadcast(plane.tobytes())
 
 
-def repeated(plane: bytes, keys: np.ndarray, cells: int = CELLS, depth: int = DEPTH) -> np.ndarray:
+def repeated(plane: bytes, keys: np.ndarray, cells: int) -> np.ndarray:
     """Where the estimate is two or more."""
-    bits = np.frombuffer(plane, np.uint8).reshape(depth, cells // 8)
+    bits = np.frombuffer(plane, np.uint8).reshape(DEPTH, cells // 8)
     ok = np.ones(len(keys), bool)
-    for row in range(depth):
+    for row in range(DEPTH):
         at = cells_of(keys, row, cells)
         ok &= (bits[row, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
     return ok
