@@ -1,26 +1,33 @@
 """Suffix-array dedup of repeated 200-byte strings.
 
 All texts count as UTF-8 bytes; a string never crosses documents.  A window is a
-200-byte string.  Windows of a document that share an anchor (the 64-byte gram
+200-byte string.  Windows of a document that share an anchor (the 32-byte gram
 of least hash in them, a matter of content alone) form a run, and equal windows
-lie in runs of equal anchors.  So shards are dealt by anchor: every group of
-equal windows is in one shard, or in the pieces of one anchor.
-
-1. Anchors estimated to occur once (count-min sketch, which never estimates too
-   low) hold no repeated window.
-2. Runs of equal content are merged with their count, before any shuffle of
-   bytes: windows of a run that occurs twice are repeated as they stand.
-3. Runs that share an anchor but differ go to shards as bytes.  Each shard builds
-   a suffix array by Larsson-Sadakane refinement in numpy, takes common prefixes
-   of neighbours after Kasai, and marks windows with a neighbour of 200 bytes.
-4. An anchor with more than ``PIECE`` different runs is dealt out in several
-   shards, each pair of which meets in a task: the windows of one shard are
-   found in the suffix array of the other by binary search.  So no task holds
-   more than two pieces, and no window is left out.
+lie in runs of equal anchors.  So texts are dealt to shards by anchor.
+
+1. Runs of equal content (by anchor and 64-bit digest) are counted, before any bytes are shuffled.  An anchor
+   that occurs once in all holds no repeated window and goes no further.  Third
+   and later copies of a content are dropped; two of them go on.
+2. Runs of the other anchors go to shards as bytes, each content once and marked
+   where it occurs twice.  Every shard, of about ``SHARD_BYTES``, builds a suffix
+   array by Larsson-Sadakane refinement in numpy, takes common prefixes of
+   neighbours after Kasai, and marks windows with a neighbour of 200 bytes.
+3. Shards are filled without regard to anchors.  Where the runs of an anchor lie in
+   several shards of a task, the windows of each are found in the suffix array of
+   the other by binary search.
+4. An anchor with more than ``PIECE`` different runs is dealt to pieces by content.
+   Pieces are shards as above; besides, each gives its distinct windows as 128-bit
+   digests, which are dealt by ranges, and binary search in a range's order finds
+   those that several pieces hold.  So an anchor costs in proportion to its kinds,
+   and no task holds more than one piece of it.
+
+Every byte removed is removed because of steps 2 to 4.
 
 Defined results.  Null and empty texts have 0 bytes.  Repeated rows are other
 documents, so their windows repeat.  Rows with a null id take part like others.
-Extra input columns are left out.
+A row over ``SEGMENT`` bytes is read in overlapping segments, which only cuts
+runs; a run that repeats itself without a gap (periodic texts) is one row of the
+table of runs.  Extra input columns are left out.
 """
 
 from __future__ import annotations
@@ -34,14 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramline.llm import _common as c
-from tramline.llm import _sketch
 from tramline.llm.substring_dedup import digest
 
-LENGTH, GRAM = 200, 64
-#: Different runs of one anchor in a shard; with more, the anchor is dealt out in pieces.
-PIECE = 2048
+LENGTH, GRAM = 200, 32
+#: Different runs of one anchor in a task; with more, the anchor is dealt out in pieces.
+PIECE = 512
 #: Bytes of the runs that one suffix array covers.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 18
+#: Bytes of one text that are read at once.
+SEGMENT = 4 << 20
 
 
 def packed(data: np.ndarray) -> np.ndarray:
@@ -133,12 +141,18 @@ def kasai(data: np.ndarray, sa: np.ndarray, cap: int, lanes: int = 2048) -> np.n
 
 
 class Shard:
-    """The runs of one shard: bytes in a row, the windows that start in them, and their order."""
+    """The runs of one shard: bytes in a row, the windows that start in them, and their order.
 
-    def __init__(self, texts: list[bytes], length: int):
+    Rows are (anchor, piece, digest, rows, twice, bytes); those that occur twice lie in the data twice.
+    """
+
+    def __init__(self, rows: list[tuple], length: int):
+        self.rows = rows
+        texts = [r[5] for r in rows] + [r[5] for r in rows if r[4]]
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         self.length = length
         self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
         ends = np.repeat(np.cumsum(self.sizes), self.sizes)
         self.starts = ends - np.arange(len(self.data)) >= length
         sa = suffix_array(self.data)
@@ -148,13 +162,19 @@ class Shard:
         own = self.starts[sa]
         self.order, self.group = sa[own], cut[own]
 
-    def inside(self) -> np.ndarray:
-        """Windows (by position) with an equal one in the shard."""
-        out = np.zeros(len(self.data), bool)
         same = self.group[1:] == self.group[:-1]
-        out[self.order[1:][same]] = True
-        out[self.order[:-1][same]] = True
-        return out
+        #: Windows (by position) that are known to have an equal one.
+        self.marked = np.zeros(len(self.data), bool)
+        self.marked[self.order[1:][same]] = True
+        self.marked[self.order[:-1][same]] = True
+
+    def of(self, anchor: int, piece: int) -> np.ndarray:
+        """Places in the order of the windows whose run has an anchor."""
+        own = np.zeros(len(self.data), bool)
+        for k, r in enumerate(self.rows):
+            if r[0] == anchor and r[1] == piece:
+                own[self.begins[k] : self.begins[k] + self.sizes[k]] = True
+        return np.flatnonzero(own[self.order])
 
     def keys(self, at: np.ndarray) -> np.ndarray:
         """Windows as rows of numbers that order like their bytes."""
@@ -162,136 +182,163 @@ class Shard:
         steps = [*range(0, self.length - 7, 8)] + [self.length - 8] * (self.length % 8 > 0)
         return np.stack([wide[at + s] for s in steps], axis=1)
 
-    def found_in(self, other: Shard) -> np.ndarray:
-        """Windows (by position) with an equal one in the other shard, by binary search in its order."""
-        out = np.zeros(len(self.data), bool)
-        if not len(self.order) or not len(other.order):
-            return out
-        firsts = np.flatnonzero(np.concatenate(([True], other.group[1:] != other.group[:-1])))
-        there = other.keys(other.order[firsts])
-        mine_first = np.flatnonzero(np.concatenate(([True], self.group[1:] != self.group[:-1])))
-        mine = self.keys(self.order[mine_first])
-        low, high = np.zeros(len(mine), np.int64), np.full(len(mine), len(there))
-
-        def compare(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Whether there[at] is less than mine, and whether equal."""
-            differ = there[at] != mine[rows]
-            k = differ.argmax(axis=1)
-            equal = ~differ[np.arange(len(rows)), k]
-            return ~equal & (there[at, k] < mine[rows, k]), equal
-
-        while (open_ := np.flatnonzero(low < high)).size:
-            mid = (low[open_] + high[open_]) // 2
-            less, _ = compare(open_, mid)
-            low[open_[less]] = mid[less] + 1
-            high[open_[~less]] = mid[~less]
-        hit = np.zeros(len(mine), bool)
-        ok = np.flatnonzero(low < len(there))
-        hit[ok] = compare(ok, low[ok])[1]
-        each = np.cumsum(np.concatenate(([True], self.group[1:] != self.group[:-1]))) - 1
-        out[self.order[hit[each]]] = True
+    def merge(self, other: Shard, anchor: int, piece: int) -> None:
+        """Mark in both shards the windows of an anchor that the other one has too, by binary search in their orders."""
+        mine, there = self.of(anchor, piece), other.of(anchor, piece)
+        if not len(mine) or not len(there):
+            return
+        a, b = self.keys(self.order[mine]), other.keys(other.order[there])
+
+        def bound(after: bool) -> np.ndarray:
+            """For each row of a the first place in b of a row that is not less (after: that is greater)."""
+            low, high = np.zeros(len(a), np.int64), np.full(len(a), len(b))
+            while (open_ := np.flatnonzero(low < high)).size:
+                mid = (low[open_] + high[open_]) // 2
+                differ = b[mid] != a[open_]
+                k = differ.argmax(axis=1)
+                on = np.arange(len(open_))
+                less = (b[mid, k] < a[open_, k]) | (after & ~differ[on, k])
+                low[open_[less]] = mid[less] + 1
+                high[open_[~less]] = mid[~less]
+            return low
+
+        first, last = bound(False), bound(True)
+        hit = last > first
+        self.marked[self.order[mine[hit]]] = True
+        edge = np.zeros(len(b) + 1, np.int64)
+        np.add.at(edge, first[hit], 1)
+        np.add.at(edge, last[hit], -1)
+        other.marked[other.order[there[np.cumsum(edge[:-1]) > 0]]] = True
+
+    def spans(self) -> list[tuple]:
+        """(anchor, digest, rows, s, e) of the marked windows of each run."""
+        out = []
+        for k, r in enumerate(self.rows):
+            at = self.begins[k]
+            out += [(r[0], r[2], r[3], a, b) for a, b in c.spans_of(self.marked[at : at + self.sizes[k]]).tolist()]
         return out
 
-    def spans(self, marked: np.ndarray) -> list[list[tuple[int, int]]]:
-        """For each run, the ranges of its marked windows."""
-        at, out = 0, []
-        for size in self.sizes.tolist():
-            out.append([tuple(x) for x in c.spans_of(marked[at : at + size]).tolist()])
-            at += size
+    def distinct(self) -> list[tuple]:
+        """(whi, wlo, anchor, digest, rows, j) of one window of each kind in runs of pieces."""
+        run = np.searchsorted(self.begins, self.order, "right") - 1
+        n = len(self.rows)
+        first = np.concatenate(([True], self.group[1:] != self.group[:-1]))
+        dealt = np.array([r[1] >= 0 for r in self.rows] + [False] * (len(self.sizes) - n), bool)
+        text, out = self.data.tobytes(), []
+        # of equal windows any will do, but it must lie in the first copy of its run
+        kept = np.flatnonzero(dealt[run])
+        _, one = np.unique(np.cumsum(first)[kept], return_index=True)
+        for k in kept[one].tolist():
+            at, r = int(self.order[k]), self.rows[run[k]]
+            out.append((*digest(text[at : at + self.length]), r[0], r[2], r[3], at - int(self.begins[run[k]])))
         return out
 
 
-def runs_of(column: pa.Array, length: int, gram: int):
-    """For slices of a column: row, first byte in the row, windows, anchor and content of each run."""
+def runs_of(column: pa.Array, length: int, gram: int, segment: int = SEGMENT):
+    """For slices of a column: row, first byte in the row, windows and anchor of each run, where it begins in the slice, and the slice."""
     offsets, raw = c.blobs(column)
     for first, last in c.slices(offsets):
-        data = raw[offsets[first] : offsets[last]]
-        if len(data) < length:
-            continue
-        per_row = np.diff(offsets[first : last + 1])
-        begins, n, anchors = c.anchored_runs(c.BYTE_VALUES[data], c.room_of(per_row), length, gram)
-        if len(begins):
-            row = np.repeat(np.arange(last - first), per_row)[begins]
-            yield first + row, begins - (np.cumsum(per_row) - per_row)[row], n, anchors, begins, data
-
-
-def compare_shards(parts: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, one, two, piece, hi, lo, bytes) in order of the first four; gives windows repeated in other runs."""
-    small: list[tuple] = []
-    room = [0]
-    pair: list[tuple] = []
-
-    def give(rows: list[tuple], spans: list[list]) -> Iterator[pa.RecordBatch]:
-        keep = [(r[0], r[4], r[5], s, e) for r, own in zip(rows, spans, strict=True) for s, e in own]
-        if keep:
-            a = np.array(keep, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(a[:, 2]), pa.array(a[:, 3].astype(np.int32)), pa.array(a[:, 4].astype(np.int32))], names=["anchor", "hi", "lo", "s", "e"])
-
-    def flush_small() -> Iterator[pa.RecordBatch]:
-        if small:
-            shard = Shard([r[6] for r in small], length)
-            yield from give(small, shard.spans(shard.inside()))
-            small.clear()
-            room[0] = 0
-
-    def flush_pair() -> Iterator[pa.RecordBatch]:
-        if not pair:
-            return
-        sides = [[r for r in pair if r[3] == side] for side in dict.fromkeys((pair[0][1], pair[0][2]))]
-        sides = [s for s in sides if s]
-        shards = [Shard([r[6] for r in s], length) for s in sides]
-        if pair[0][1] == pair[0][2]:
-            yield from give(sides[0], shards[0].spans(shards[0].inside()))
-        elif len(sides) == 2:
-            for (rows, own), other in zip(zip(sides, shards, strict=True), shards[::-1], strict=True):
-                yield from give(rows, own.spans(own.found_in(other)))
-        pair.clear()
+        whole = int(offsets[last] - offsets[first])
+        # a long text in segments that share length - 1 bytes, so that each window lies in one of them
+        step = whole if last - first > 1 or whole <= segment else segment
+        for at in range(0, max(whole - length + 1, 0), step or 1):
+            data = raw[offsets[first] + at : min(offsets[first] + at + step + (length - 1) * (step < whole), offsets[last])]
+            per_row = np.diff(offsets[first : last + 1]) if step == whole else np.array([len(data)])
+            begins, n, anchors = c.anchored_runs(c.BYTE_VALUES[data], c.room_of(per_row), length, gram)
+            if len(begins):
+                row = np.repeat(np.arange(last - first), per_row)[begins]
+                yield first + row, at + begins - (np.cumsum(per_row) - per_row)[row], n, anchors, begins, data
+
+
+def compare_shards(parts: Iterator[pa.RecordBatch], length: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, piece, digest, rows, twice, bytes) in order of the first three: marked windows of runs, and windows of pieces yet to be merged."""
+    rows: list[tuple] = []
+    size = 0
+    held: list[Shard] = []  # shards that hold the last anchor met
+
+    def told(shard: Shard) -> pa.RecordBatch:
+        spans, loose = shard.spans(), shard.distinct()
+        a = np.array([(*x, 0, 0) for x in spans] + [(*x[2:], x[5] + 1, *x[:2]) for x in loose], np.int64).reshape(-1, 7)
+        known = np.arange(len(a)) < len(spans)
+        columns = [pa.array(a[:, k]) for k in range(3)] + [pa.array(a[:, k].astype(np.int32)) for k in (3, 4)] + [pa.array(a[:, k], mask=known) for k in (5, 6)]
+        return pa.RecordBatch.from_arrays(columns, names=["anchor", "digest", "rows", "s", "e", "whi", "wlo"])
+
+    def shut(own: list[tuple]) -> list[Shard]:
+        """Build a shard and merge it with those that share its first anchor; gives those that no later one can share an anchor with."""
+        shard, done = Shard(own, length), []
+        head, tail = own[0][:2], own[-1][:2]
+        shares = bool(held) and held[-1].rows[-1][:2] == head
+        if shares:
+            for other in held:
+                shard.merge(other, *head)
+        if not shares or head != tail:
+            done = held[:]
+            held.clear()
+        held.append(shard)
+        return done
 
     for part in parts:
         for r in zip(*[col.to_pylist() for col in part.columns], strict=True):
-            if r[2] < 0:  # an anchor in one piece; several share a suffix array
-                if small and room[0] >= SHARD_BYTES and small[-1][0] != r[0]:
-                    yield from flush_small()
-                small.append(r)
-                room[0] += len(r[6])
-            else:
-                if pair and pair[0][:3] != r[:3]:
-                    yield from flush_pair()
-                pair.append(r)
-    yield from flush_small()
-    yield from flush_pair()
-
-
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, piece: int = PIECE, cells: int = _sketch.CELLS, texts: bool = True) -> DataFrame:
+            if rows and size >= shard_bytes:
+                yield from map(told, shut(rows))
+                rows, size = [], 0
+            rows.append(r)
+            size += len(r[5]) * (1 + r[4])
+    if rows:
+        yield from map(told, shut(rows))
+    yield from map(told, held)
+
+
+def shared(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (whi, wlo, anchor, digest, rows, s, e) in order of the first two, those whose digest another row has."""
+    rest = None
+    for part in parts:
+        rows = part if rest is None else pa.Table.from_batches([rest, part]).combine_chunks().to_batches()[0]
+        key = np.stack([rows.column(k).to_numpy() for k in (0, 1)], axis=1)
+        if not len(key):
+            continue
+        same = (key[1:] == key[:-1]).all(axis=1)
+        # the last digest may go on in the next batch: two rows of it are enough to tell
+        tail = len(key) - int(np.searchsorted(key[::-1, 0] != key[-1, 0], True))
+        hit = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        yield rows.slice(0, tail).filter(pa.array(hit[:tail]))
+        rest = rows.slice(tail)
+    if rest is not None and rest.num_rows:
+        key = np.stack([rest.column(k).to_numpy() for k in (0, 1)], axis=1)
+        same = (key[1:] == key[:-1]).all(axis=1)
+        yield rest.filter(pa.array(np.concatenate(([False], same)) | np.concatenate((same, [False]))))
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, piece: int = PIECE, shard_bytes: int = SHARD_BYTES, segment: int = SEGMENT, texts: bool = True) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row, with the kept bytes where ``texts``."""
     c.ready(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), c.row_key(F.col(text_col)).alias("rid"), F.col(text_col).alias("text"))
 
-    def anchors(part: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for found in runs_of(part.column(2), length, gram):
-            yield found[3]
-
-    plane = _sketch.sketch(rows, anchors, cells)
-
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for row, at, n, anchor, begins, data in runs_of(part.column(2), length, gram):
-                ok = _sketch.repeated(plane.value, anchor, cells)
-                if not ok.any():
-                    continue
-                row, at, n, begins, anchor = row[ok], at[ok], n[ok], begins[ok], anchor[ok]
+            for row, at, n, anchor, begins, data in runs_of(part.column(2), length, gram, segment):
                 text = data.tobytes()
-                d = np.array([digest(text[s:e]) for s, e in zip(begins.tolist(), (begins + n + length - 1).tolist(), strict=True)], np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(d[:, 0]), pa.array(d[:, 1]), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["anchor", "hi", "lo", "id", "rid", "at", "n"])
-
-    runs = c.written(rows.mapInArrow(scan, "anchor long, hi long, lo long, id long, rid long, at int, n int"), "runs")
-    key = ["anchor", "hi", "lo"]
-    classes = runs.groupBy(*key).agg(F.count("*").alias("times"), F.min(F.struct("id", "rid", "at", "n")).alias("r")).select(*key, "times", "r.*")
-    kinds = classes.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-
-    # runs that share an anchor but differ: their bytes, one document for each content
-    wanted = classes.join(kinds, "anchor").groupBy("id", "rid").agg(F.collect_list(F.struct(*key, "kinds", "at", "n")).alias("runs"))
+                d = c.digests(text, begins, begins + n + length - 1)
+                one, reps = c.collapsed(row, at, n, anchor, d)
+                row, at, n, anchor, d = row[one], at[one], n[one], anchor[one], d[one]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(d), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), *[pa.array(x.astype(np.int32)) for x in (at, n, reps)]], names=["anchor", "digest", "id", "rid", "at", "n", "reps"])
+        c.trim()
+
+    runs = c.written(rows.mapInArrow(scan, "anchor long, digest long, id long, rid long, at int, n int, reps int"), "runs")
+    key = ["anchor", "digest"]
+    # any run of a content stands for it: firsts of one group come from one row
+    classes = runs.groupBy(*key).agg(F.sum("reps").alias("times"), F.count("*").alias("rows"), *[F.first(x).alias(x) for x in ("id", "rid", "at", "n")])
+    classes = c.written(classes, "classes")
+    anchors = c.written(classes.groupBy("anchor").agg(F.count("*").alias("rows"), F.sum("times").alias("occurs")).where("occurs > 1").drop("occurs"), "anchors")
+    often = c.hot_keys(classes, anchors, ["anchor"])
+    c.release(docs.sparkSession)
+
+    # bytes of each content of an anchor that occurs twice or more, from one document that has it
+    known = c.split_join(classes, anchors.withColumnRenamed("rows", "kinds"), ["anchor"], often)
+    pieces = F.ceil(F.col("kinds") / piece)
+    known = known.withColumn("piece", F.when(pieces > 1, F.pmod("digest", pieces)).otherwise(-1))
+    wanted = known.groupBy("id", "rid").agg(F.collect_list(F.struct(*key, "piece", "rows", (F.col("times") > 1).alias("twice"), "at", "n")).alias("runs"))
     wanted = wanted.withColumnsRenamed({"id": "w_id", "rid": "w_rid"})
     once = rows.join(wanted, rows["id"].eqNullSafe(wanted["w_id"]) & (rows["rid"] == wanted["w_rid"])).select("text", "runs")
 
@@ -299,27 +346,32 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for part in parts:
             offsets, raw = c.blobs(part.column(0))
             for i, own in enumerate(part.column(1)):
-                own = own.as_py()
-                base = offsets[i]
-                yield pa.RecordBatch.from_arrays([*[pa.array([r[k] for r in own], pa.int64()) for k in (*key, "kinds")], pa.array([raw[base + r["at"] : base + r["at"] + r["n"] + length - 1].tobytes() for r in own], pa.binary())], names=[*key, "kinds", "bytes"])
-
-    contents = once.mapInArrow(fetch, "anchor long, hi long, lo long, kinds long, bytes binary")
-    pieces = F.ceil(F.col("kinds") / piece)
-    contents = contents.withColumn("piece", F.pmod("hi", pieces))
-    contents = contents.withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    contents = contents.select("anchor", F.least("piece", "other").alias("one"), F.when(F.col("kinds") <= piece, -1).otherwise(F.greatest("piece", "other")).alias("two"), "piece", "hi", "lo", "bytes")
+                own = own.values
+                get = {k: own.field(k).to_numpy(zero_copy_only=False) for k in (*key, "piece", "rows", "twice", "at", "n")}
+                s, e = offsets[i] + get["at"], offsets[i] + get["at"] + get["n"] + length - 1
+                for first in range(0, len(s), 4096):
+                    to = slice(first, first + 4096)
+                    yield pa.RecordBatch.from_arrays([*[pa.array(get[k][to]) for k in ("anchor", "piece", "digest", "rows", "twice")], pa.array([raw[a:b].tobytes() for a, b in zip(s[to].tolist(), e[to].tolist(), strict=True)], pa.binary())], names=["anchor", "piece", "digest", "rows", "twice", "bytes"])
+
+    contents = once.mapInArrow(fetch, "anchor long, piece long, digest long, rows long, twice boolean, bytes binary")
     # repeated rows of the input fetch a run twice: they are one content
-    shards = contents.repartition("anchor", "one", "two").sortWithinPartitions("anchor", "one", "two", "piece", "hi", "lo")
-    found = shards.mapInArrow(lambda parts: compare_shards(unrepeated(parts), length), "anchor long, hi long, lo long, s int, e int")
-    found = found.groupBy(*key).agg(F.collect_set(F.struct("s", "e")).alias("marks"))
-
-    known = classes.select(*key, "times").join(found, key, "left").where("times > 1 or marks is not null")
-    spans = runs.join(known, key).select(
-        "id", "rid",
-        F.when(F.col("times") > 1, F.array(F.struct(F.col("at").alias("s"), (F.col("at") + F.col("n") + length - 1).alias("e"))))
-        .otherwise(F.expr(f"transform(marks, m -> struct(at + m.s as s, at + m.e + {length - 1} as e))")).alias("spans"),
-    )
-    removed = spans.groupBy(F.col("id").alias("w_id"), F.col("rid").alias("w_rid")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    shards = contents.repartition("anchor", "piece").sortWithinPartitions("anchor", "piece", "digest")
+    found = shards.mapInArrow(lambda parts: compare_shards(unrepeated(parts), length, shard_bytes), "anchor long, digest long, rows long, s int, e int, whi long, wlo long")
+    found = c.written(found, "found")
+    loose = found.where("whi is not null").select("whi", "wlo", *key, "rows", "s", "e").repartition("whi").sortWithinPartitions("whi", "wlo")
+    # windows that several pieces hold; equal ones of a piece are marked already
+    across = loose.mapInArrow(shared, "whi long, wlo long, anchor long, digest long, rows long, s int, e int").select(*key, "rows", "s", "e")
+    # a run has fewer windows than a window has bytes, so what its marked windows cover has no gap
+    marks = found.where("whi is null").select(*key, "rows", "s", "e").unionByName(across).groupBy(*key).agg(F.max("rows").alias("rows"), F.min("s").alias("s"), F.max("e").alias("e"))
+
+    # a run that repeats without a gap is marked in whole
+    marks = c.written(marks, "marks")
+    hot = c.hot_keys(runs, marks, key)
+    c.forget(found, classes, anchors, often)
+    del classes, anchors, known, wanted, once, contents, shards, found, loose, across
+    c.release(docs.sparkSession)
+    spans = c.split_join(runs, marks.drop("rows"), key, hot).select("id", "rid", F.expr(f"struct(at + s as s, at + e + (reps - 1) * n + {length - 1} as e)").alias("span"))
+    removed = spans.groupBy(F.col("id").alias("w_id"), F.col("rid").alias("w_rid")).agg(F.collect_list("span").alias("spans"))
     final = rows.join(removed, rows["id"].eqNullSafe(removed["w_id"]) & (rows["rid"] == removed["w_rid"]), "left").select(F.col("id").cast(kind).alias("id"), "text", "spans")
     schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
 
@@ -352,7 +404,7 @@ def unrepeated(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Without rows that equal the one before in all but bytes."""
     before = None
     for part in parts:
-        keys = np.stack([part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)], axis=1)
+        keys = np.stack([part.column(k).to_numpy() for k in range(3)], axis=1)
         if not len(keys):
             continue
         fresh = np.concatenate(([before is None or bool((keys[0] != before).any())], (keys[1:] != keys[:-1]).any(axis=1)))
