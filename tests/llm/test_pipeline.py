@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 sys.path.insert(0, __file__.rsplit("/", 1)[0])
 from test_media_pii_mixing import brute_mix, plain_spans  # noqa: E402
-from test_repeats import simhash_brute  # noqa: E402
+from test_repeats import jaccard, shingle_sets  # noqa: E402
 
 D = "/root/testdata/sf0.001"
 
@@ -24,9 +24,22 @@ def test_pipeline(spark):
     bad = {r.doc_id for r in toxicity(docs, spark.read.parquet(f"{D}/labels.parquet")).where("score >= 0.3").collect()}
     one = p.reject_toxic(spark, docs, D)
     assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == set(rows) - bad
-    left = [(d, r.text) for d, r in rows.items() if d not in bad]
+    sets = shingle_sets([(d, r.text) for d, r in rows.items() if d not in bad])
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and jaccard(sets[a], sets[b]) >= 0.8:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
     two = p.near_dedup(spark, one, D).collect()
-    assert sorted(r.doc_id for r in two) == sorted({comp for _, comp in simhash_brute(left).values()})
+    # the filter may let a link go, so a few more may stay; none goes that brute force keeps
+    assert {find(d) for d in sets} <= {r.doc_id for r in two} and len(two) <= len({find(d) for d in sets}) * 1.02
     assert all(r == rows[r.doc_id] for r in two)
     three = p.redact_pii(spark, spark.createDataFrame(two, docs.schema), D).collect()
     for r in three:
@@ -58,3 +71,30 @@ def test_empty_and_odd(spark):
             docs = stage(spark, docs, D)
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert sorted(str(r.doc_id) for r in p.encode(spark, docs, D).collect()) == ([] if not rows else ["4", "None"])
+
+
+def test_clashing_names(spark):
+    """Extra columns named like those that stages make for themselves come through every stage."""
+    import corpus_pipeline as p
+
+    extra = ["toxicity", "_print", "w_id", "w_rid", "w_key", "node", "root", "mix_tokens", "mix_epoch", "_cut", "_copies", "in_0", "src", "s", "score"]
+    docs = spark.read.parquet(f"{D}/documents.parquet").limit(60)
+    docs = docs.selectExpr("*", *[f"doc_id * {i} as {x}" for i, x in enumerate(extra)])
+    for name, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, D)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *extra], name
+    got = docs.collect()
+    assert got and all(r[x] == r.doc_id * i for r in got for i, x in enumerate(extra))
+
+
+def test_tables_of_stages_are_deleted(spark):
+    import os
+
+    import corpus_pipeline as p
+    from tramline.llm import _common as c
+
+    before = set(c._tables)
+    rows = p.run(spark, D)
+    left = set(c._tables) - before
+    assert len(left) == 1 and rows.count() > 0  # what the last stage reads
+    assert all(os.path.exists(x.removeprefix("file:")) for x in left)
