@@ -22,7 +22,8 @@ filter lets through, at least 9 of 10.
 Distinct fingerprints stand for their documents, so exact copies make no pairs.
 Groups are compared in numpy and give at most a spanning forest of links, not
 their pairs; for near-duplicates groups up to ``SMALL`` give all candidates, larger
-ones a forest of the surest and for each member the nearest of the others.  A group over ``BLOCK`` fingerprints is dealt out in pieces, and
+ones stars about the members that are nearest to what most have in common, as copies
+are nearer to their source than to each other.  A group over ``BLOCK`` fingerprints is dealt out in pieces, and
 each pair of pieces is compared in a task of its own: no task holds more than
 two pieces, however common a segment is, and no link is lost.
 
@@ -55,8 +56,10 @@ BLOCK = 4096
 NEAR_REACH, NEAR_SHINGLE, NEAR, NEAR_BITS, SURE_BITS = 10, 5, 0.8, 34, 13
 #: How often a word counts in the fingerprint of words: beyond that, common words would make all texts of a language alike.
 WEIGHT = 3
+#: Stars that a candidate joins unless it leaves little doubt.
+STARS = 3
 #: Groups up to this size are compared together.
-SMALL = 64
+SMALL = 32
 _SALTS = np.array([0x8B7A1F3D5C6E9A01, 0xD1B54A32D192ED03], np.uint64)
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -166,10 +169,7 @@ class Compare:
         return at[ok], apart[ok]
 
     def forest(self, rows: np.ndarray, left: np.ndarray) -> list[tuple[int, int]]:
-        """Links that connect what is connected in one group; where ``left`` is mixed, only pairs across it count.  Two probes are no pair.
-
-        Of candidates only the surest connect; besides, each row gives its nearest one among the rest.
-        """
+        """Links that connect what is connected in one group; where ``left`` is mixed, only pairs across it count.  Two probes are no pair."""
         n = len(rows)
         _, label = np.unique(rows[:, 5], return_inverse=True)  # a node may lie in a group twice: at home, and probing
         home = rows[:, 4] == 0
@@ -182,17 +182,44 @@ class Compare:
             others = np.flatnonzero(apart)
             if not len(others):
                 continue
-            at, apart = self.within(rows, np.full(len(others), i), others)
-            near = others[at]
-            sure = near[apart <= SURE_BITS]
-            while len(sure):
-                j = sure[0]
+            near = others[self.within(rows, np.full(len(others), i), others)[0]]
+            while len(near):
+                j = near[0]
                 out.append((i, int(j)))
                 label[label == label[j]] = label[i]
-                sure = sure[label[sure] != label[i]]
-            rest = label[near] != label[i]
-            if rest.any():
-                out.append((i, int(near[rest][apart[rest].argmin()])))
+                near = near[label[near] != label[i]]
+        return out
+
+    def stars(self, rows: np.ndarray, left: np.ndarray) -> list[tuple[int, int]]:
+        """Candidates of one group, each row with up to STARS hubs; where ``left`` is mixed, only pairs across it count.
+
+        Hubs are rows at home, in order of their distance to the bits that most rows have.
+        """
+        mixed = not (left.all() or not left.any())
+        bits = np.unpackbits(np.ascontiguousarray(rows[:, 7:9]).view(np.uint8), axis=1)
+        order = (bits != (2 * bits.sum(axis=0, dtype=np.int64) > len(rows))).sum(axis=1).argsort(kind="stable")
+        out = []
+        for side in (True, False) if mixed else (None,):
+            tried = np.zeros(len(rows), np.int64)
+            hubs = order[(rows[order, 4] == 0) & (side is None or left[order] == side)]
+            for i in hubs.tolist():
+                if side is None and tried[i] >= STARS:
+                    continue
+                open_ = (tried < STARS) & (rows[:, 5] != rows[i, 5])
+                if side is not None:
+                    open_ &= left != side
+                others = np.flatnonzero(open_)
+                if not len(others):
+                    if side is not None:
+                        break
+                    continue
+                at, apart = self.within(rows, np.full(len(others), i), others)
+                near = others[at]
+                out += [(i, j) for j in near.tolist()]
+                tried[near] += 1
+                tried[near[apart <= SURE_BITS]] = STARS
+                if side is None:
+                    tried[i] = STARS
         return out
 
     def small_forests(self, rows: np.ndarray, group: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
@@ -235,7 +262,7 @@ class Compare:
             if small[heads[g]]:
                 continue
             s = slice(heads[g], heads[g] + sizes[g])
-            found = self.forest(rows[s], rows[s, 3] == rows[heads[g], 1])
+            found = (self.forest if self.bits is None else self.stars)(rows[s], rows[s, 3] == rows[heads[g], 1])
             if found:
                 edges.append(np.array(found) + heads[g])
         if edges:
