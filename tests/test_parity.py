@@ -33,4 +33,4 @@ def test_same_rows(spark, con, name):
 
 def test_every_query_runs(spark):
     for name in sorted(set(REGISTRY) - set(SQL)):
-        assert REGISTRY[name](spark, D).schema
+        assert REGISTRY[name](spark, D).collect() is not None

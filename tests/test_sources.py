@@ -50,7 +50,7 @@ def test_gtfs(spark, feed):
     assert d.identifier == "src-x" and d.provider == {"name": "p"} and d.supported["stops"] and not d.supported["journey_tracks"]
     assert set(registry.read(spark, d, feed)) == {"operators", "stops", "services", "journeys"}
     with pytest.raises(ValueError):
-        registry.read(spark, registry.Dataset("a", "json-nrod"), feed)
+        registry.read(spark, registry.Dataset("a", "no-such-format"), feed)
     assert registry.fresh(100, 50, 120) and not registry.fresh(100, 50, 120, True) and not registry.fresh(None, 50, 120)
 
 
@@ -97,7 +97,7 @@ def test_xml_and_json(spark, tmp_path):
 def test_streams(spark, tmp_path):
     from tramline.operators.realtime import diff_events
     from tramline.plans.base import Tables
-    from tramline.streaming.vehicles import rates, track, upsert
+    from tramline.streaming.vehicles import current, rates, track, upsert
 
     m = Tables(spark, "/root/testdata/sf0.001").messages()
     src = str(tmp_path / "in")
@@ -116,5 +116,5 @@ def test_streams(spark, tmp_path):
     table = str(tmp_path / "state")
     for part in (m.where("event_id % 2 = 0"), m.where("event_id % 2 = 1"), m.where("event_id % 2 = 1")):
         upsert(part.select("vehicle", "ts", "event_id"), table, "vehicle", "ts")
-    assert spark.read.parquet(table).count() == m.select("vehicle").distinct().count()
+    assert current(spark, table).count() == m.select("vehicle").distinct().count()
     assert os.path.exists(table)

@@ -45,19 +45,28 @@ def line_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by
     return F.sqrt(F.pow(px - (ax + t * (bx - ax)), F.lit(2.0)) + F.pow(py - (ay + t * (by - ay)), F.lit(2.0)))
 
 
+def band_width(band: Column, size: float) -> Column:
+    """Degrees of longitude that ``size`` degrees of latitude make anywhere in a band of latitude, all of them at the poles."""
+    most = F.greatest(F.abs(band * size), F.abs((band + 1) * size))
+    return F.when(most >= 89.9, 360.0).otherwise(F.least(F.lit(360.0), F.lit(size) / F.cos(F.radians(most))))
+
+
 def neighbours(left: DataFrame, right: DataFrame, metres: float, keep: list[str] | None = None) -> DataFrame:
     """Pairs of points within ``metres``: a grid join, not a product.
 
-    Both sides have id, lat, lon.  The right side is copied to the nine cells
-    around its own, so that each pair meets in the left point's cell.  Cells are
-    as wide as the reach at the highest latitude of use (cos 60 degrees).
-    Gives from_id, to_id and distance_m, measured from the left point.
+    Both sides have id, lat, lon.  Cells are bands of latitude, cut into stretches
+    of longitude that are as wide as the reach is there, so the join is exact at
+    any latitude.  The right side is copied to the three bands about its own and
+    three stretches of each, so that each pair meets in the left point's cell.
+    Gives from_id, to_id and distance_m, measured from the left point; the flat
+    distance does not go round at 180 degrees, nor does the join.
     """
-    size = metres / DEGREE_M
-    wide = size * 2
-    a = left.select(F.col("id").alias("from_id"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), cell(F.col("lat"), size).alias("cy"), cell(F.col("lon"), wide).alias("cx"), *(keep or []))
-    around = F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = right.select(F.col("id").alias("to_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(around).alias("d"))
-    b = b.select("to_id", "lat2", "lon2", (cell(F.col("lat2"), size) + F.col("d.dy")).alias("cy"), (cell(F.col("lon2"), wide) + F.col("d.dx")).alias("cx"))
+    size = metres / DEGREE_M * (1 + 1e-9)
+    a = left.select(F.col("id").alias("from_id"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), cell(F.col("lat"), size).alias("cy"), *(keep or []))
+    a = a.withColumn("cx", F.floor(F.col("lon1") / band_width(F.col("cy"), size)))
+    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    b = right.select(F.col("id").alias("to_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(near).alias("d"))
+    b = b.withColumn("cy", cell(F.col("lat2"), size) + F.col("d")).drop("d")
+    b = b.select("*", F.explode(near).alias("d")).withColumn("cx", F.floor(F.col("lon2") / band_width(F.col("cy"), size)) + F.col("d")).drop("d")
     pairs = a.join(b, ["cy", "cx"]).withColumn("distance_m", equirect(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
     return pairs.where((F.col("from_id") != F.col("to_id")) & (F.col("distance_m") <= metres)).drop("cy", "cx", "lat1", "lon1", "lat2", "lon2")

@@ -66,8 +66,10 @@ def stop_key(stop: Column, index: Column) -> Column:
 
 
 def block_key(dataset: Column, service: Column, block: Column) -> Column:
-    """Blocks are told apart by service where it is known, else by dataset; no block, no key."""
-    return F.when(F.coalesce(block, F.lit("")) == "", None).otherwise(F.concat_ws("|", F.coalesce(service, dataset), block))
+    """Blocks are told apart by dataset where it is known, else by service, and the key says which; no block, no key."""
+    known = F.coalesce(dataset, F.lit("")) != ""
+    owner = F.when(known, F.concat_ws("\u001f", F.lit("dataset"), dataset)).otherwise(F.concat_ws("\u001f", F.lit("service"), F.coalesce(service, F.lit(""))))
+    return F.when(F.coalesce(block, F.lit("")) != "", F.concat_ws("\u001f", owner, block))
 
 
 def day_instance(identifier: Column) -> tuple[Column, Column]:

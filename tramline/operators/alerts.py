@@ -18,16 +18,35 @@ def added_identifiers(states: DataFrame) -> DataFrame:
 def compile_subscription(rule: dict) -> Column:
     """A boolean column from structured values: no text of users is ever evaluated.
 
-    ``alert_types`` limits the type; ``any_of`` gives fields and the values of
-    which one must hold.  Without any value nothing matches.
+    ``alert_types`` limits the type; ``any_of`` gives names of columns and the values
+    of which one must hold.  Without any value nothing matches.
     """
-    parts = [F.expr(field).isin(*values) for field, values in rule.get("any_of", {}).items() if values]
+    quoted = lambda field: F.col("`" + field.replace("`", "``") + "`")
+    parts = [quoted(field).isin(*values) for field, values in rule.get("any_of", {}).items() if values]
     if not parts:
         return F.lit(False)
     out = reduce(lambda a, b: a | b, parts)
     return out & F.col("event_type").isin(*rule["alert_types"]) if rule.get("alert_types") else out
 
 
+#: Rows of subscriptions that are sent to every task; with more, they are joined by type and a salt.
+SMALL, SALTS = 100_000, 32
+
+
+def match_subscriptions(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Events with each subscription of their type whose least value they exceed: (sub_id, event_id).
+
+    Few subscriptions go to the events; many are copied to each salt, so that a
+    type with a third of all events is dealt to as many tasks.
+    """
+    if subscriptions.limit(SMALL + 1).count() <= SMALL:
+        pairs = events.join(F.broadcast(subscriptions), "event_type")
+    else:
+        salted = subscriptions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = events.withColumn("salt", F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int")).join(salted, ["event_type", "salt"])
+    return pairs.where(F.col("value") > F.col("threshold")).select("sub_id", "event_id")
+
+
 def notification_text(kind: Column, subject: Column) -> Column:
     return F.when(kind == "error", F.concat(F.lit("Journey cancelled: "), subject)).when(kind == "signup", F.concat(F.lit("New alert for "), subject)).otherwise(F.concat(F.lit("Update for "), subject))
 

@@ -44,3 +44,17 @@ def diff_events(messages: DataFrame) -> DataFrame:
 
 def live(messages: DataFrame, now: str, minutes: int) -> DataFrame:
     return messages.where(F.col("ts") > F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {minutes} minutes"))
+
+
+def identify(messages: DataFrame, trips: DataFrame, places: DataFrame) -> DataFrame:
+    """Messages with the journey that they are about, and how it was found.
+
+    messages have trip and place, either null; trips is (trip, found), places (place,
+    found), each key once.  The trip counts first, then the place, where one is given;
+    else the code is NONE, which callers may remember so as not to ask again.
+    """
+    by_trip = trips.select("trip", F.col("found").alias("of_trip"))
+    by_place = places.select("place", F.col("found").alias("of_place"))
+    got = messages.join(by_trip, "trip", "left").join(by_place, "place", "left")
+    code = F.when(F.col("of_trip").isNotNull(), "TRIP").when(F.col("of_place").isNotNull(), "LOCATION").otherwise("NONE")
+    return got.select(*messages.columns, F.coalesce("of_trip", "of_place").alias("found"), code.alias("code"))

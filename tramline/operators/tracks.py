@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,26 +18,24 @@ def simplified(points: list[tuple[float, float]], metres: float) -> list[tuple[f
     """Douglas-Peucker over (lon, lat), without recursion: ends and bends of at least ``metres`` stay."""
     if len(points) < 3:
         return list(points)
-    keep = {0, len(points) - 1}
+    xy = np.array(points, float)
+    xy = np.stack([xy[:, 0] * (math.cos(math.radians(points[0][1])) * DEGREE_M), xy[:, 1] * DEGREE_M], axis=1)
+    keep = np.zeros(len(points), bool)
+    keep[[0, -1]] = True
     work = [(0, len(points) - 1)]
-    scale = math.cos(math.radians(points[0][1])) * DEGREE_M
-    xy = [(x * scale, y * DEGREE_M) for x, y in points]
     while work:
         a, b = work.pop()
-        (ax, ay), (bx, by) = xy[a], xy[b]
-        dx, dy = bx - ax, by - ay
-        length = dx * dx + dy * dy
-        best, at = -1.0, 0
-        for i in range(a + 1, b):
-            px, py = xy[i][0] - ax, xy[i][1] - ay
-            t = min(1.0, max(0.0, (px * dx + py * dy) / length)) if length else 0.0
-            d = math.hypot(px - t * dx, py - t * dy)
-            if d > best:
-                best, at = d, i
-        if best >= metres:
-            keep.add(at)
-            work += [(a, at), (at, b)]
-    return [points[i] for i in sorted(keep)]
+        if b - a < 2:
+            continue
+        d, p = xy[b] - xy[a], xy[a + 1 : b] - xy[a]
+        length = float(d @ d)
+        t = np.clip(p @ d / length, 0.0, 1.0) if length else np.zeros(len(p))
+        away = np.hypot(*(p - t[:, None] * d).T)
+        at = int(away.argmax())
+        if away[at] >= metres:
+            keep[a + 1 + at] = True
+            work += [(a, a + 1 + at), (a + 1 + at, b)]
+    return [points[i] for i in np.flatnonzero(keep)]
 
 
 def simplify(tracks: DataFrame, metres: float = 5.0) -> DataFrame:
@@ -53,3 +53,172 @@ def best_routes(candidates: DataFrame) -> DataFrame:
     """Of (journey_id, route, extra) the route with the fewest extra stops, ties to the least route."""
     w = Window.partitionBy("journey_id").orderBy("extra", "route")
     return candidates.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def project(xy: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each point the distance to a track (metres, both in metres) and the way along it to the nearest place."""
+    a, d = xy[:-1], np.diff(xy, axis=0)
+    length = np.hypot(*d.T)
+    upto = np.concatenate(([0.0], np.cumsum(length)))
+    rel = points[:, None, :] - a[None]
+    t = np.clip((rel * d).sum(-1) / np.where(length > 0, length**2, 1.0), 0.0, 1.0)
+    away = np.hypot(*np.moveaxis(rel - t[..., None] * d, -1, 0))
+    k = away.argmin(axis=1)
+    on = np.arange(len(points))
+    return away[on, k], upto[k] + t[on, k] * length[k]
+
+
+def metres_of(points: list) -> np.ndarray:
+    """(lon, lat) in metres, longitude scaled at the first point."""
+    lonlat = np.array([(p["lon"], p["lat"]) for p in points], float).reshape(-1, 2)
+    scale = math.cos(math.radians(lonlat[0, 1])) if len(lonlat) else 1.0
+    return lonlat * np.array([DEGREE_M * scale, DEGREE_M])
+
+
+def journey_positions(rows: DataFrame) -> DataFrame:
+    """Where vehicles are on their journeys: (journey_id, leg, progress, distance_m).
+
+    rows: (journey_id, lon, lat, legs array<array<struct<lon, lat>>>, track
+    array<struct<lon, lat>>).  The leg whose track is nearest counts, ties to the
+    first; without a track of any leg the whole journey's, as leg -1; without both
+    no row.  Progress is the part of the track that lies behind, 0 to 1.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out = []
+            for journey, lon, lat, legs, track in zip(p.journey_id, p.lon, p.lat, p.legs, p.track, strict=True):
+                options = [(i, t) for i, t in enumerate(legs if legs is not None else []) if t is not None and len(t) > 1]
+                options = options or ([(-1, track)] if track is not None and len(track) > 1 else [])
+                best = None
+                for i, t in options:
+                    line = metres_of([*t, {"lon": lon, "lat": lat}])
+                    away, along = project(line[:-1], line[-1:])
+                    total = np.hypot(*np.diff(line[:-1], axis=0).T).sum()
+                    if best is None or away[0] < best[2]:
+                        best = (i, float(along[0] / total) if total else 0.0, float(away[0]))
+                if best:
+                    out.append((journey, *best))
+            yield pd.DataFrame(out, columns=["journey_id", "leg", "progress", "distance_m"]).astype({"leg": "int32", "progress": float, "distance_m": float})
+
+    kind = rows.schema["journey_id"].dataType.simpleString()
+    return rows.select("journey_id", "lon", "lat", "legs", "track").mapInPandas(run, f"journey_id {kind}, leg int, progress double, distance_m double")
+
+
+def cut(xy: np.ndarray, lonlat: list, s: float, e: float) -> list[dict]:
+    """The stretch of a track from ``s`` to ``e`` metres along it."""
+    upto = np.concatenate(([0.0], np.cumsum(np.hypot(*np.diff(xy, axis=0).T))))
+    ll = np.array([(p["lon"], p["lat"]) for p in lonlat], float)
+    at = lambda m: {"lon": float(np.interp(m, upto, ll[:, 0])), "lat": float(np.interp(m, upto, ll[:, 1]))}
+    inner = [{"lon": float(x), "lat": float(y)} for (x, y), m in zip(ll, upto, strict=True) if s < m < e]
+    return [at(s), *inner, at(e)]
+
+
+def ordered_snaps(away: np.ndarray, along: np.ndarray, reach: float) -> np.ndarray | None:
+    """Of candidates (stops by places: distance, way along) one for each stop, ways strictly increasing, with the least sum of distances."""
+    cost = np.where(away <= reach, away, np.inf)
+    total, back = cost[0].copy(), []
+    for i in range(1, len(cost)):
+        ok = along[i - 1][:, None] < along[i][None, :]
+        via = np.where(ok, total[:, None], np.inf)
+        k = via.argmin(axis=0)
+        back.append(k)
+        total = via[k, np.arange(len(k))] + cost[i]
+    if not np.isfinite(total).any():
+        return None
+    at = [int(total.argmin())]
+    for k in reversed(back):
+        at.append(int(k[at[-1]]))
+    at.reverse()
+    return np.array([along[i][j] for i, j in enumerate(at)])
+
+
+def split_legs(rows: DataFrame, reach: float = 200.0, overlap: float = 5.0) -> DataFrame:
+    """Cut each journey's track at its stops: (journey_id, legs array<array<struct<lon, lat>>>).
+
+    rows: (journey_id, stops array<struct<lon, lat>>, track array<struct<lon, lat>>).
+    Stops snap to segments within ``reach`` metres, in order along the track, by the
+    least sum of distances; each leg goes ``overlap`` metres beyond its stops.  Where
+    no such order exists every leg keeps the whole track.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out = []
+            for stops, track in zip(p.stops, p.track, strict=True):
+                n = 0 if stops is None else max(0, len(stops) - 1)
+                if track is None or len(track) < 2 or not n:
+                    out.append([[] for _ in range(n)])
+                    continue
+                line = metres_of([*track, *stops])
+                xy, at = line[: len(track)], line[len(track) :]
+                # candidates: the nearest place of every segment
+                d = np.diff(xy, axis=0)
+                length = np.hypot(*d.T)
+                upto = np.concatenate(([0.0], np.cumsum(length)))
+                rel = at[:, None, :] - xy[None, :-1]
+                t = np.clip((rel * d).sum(-1) / np.where(length > 0, length**2, 1.0), 0.0, 1.0)
+                away = np.hypot(*np.moveaxis(rel - t[..., None] * d, -1, 0))
+                snaps = ordered_snaps(away, upto[:-1] + t * length, reach)
+                whole = [{"lon": q["lon"], "lat": q["lat"]} for q in track]
+                out.append([whole] * n if snaps is None else [cut(xy, track, max(0.0, a - overlap), min(upto[-1], b + overlap)) for a, b in zip(snaps, snaps[1:], strict=False)])
+            yield pd.DataFrame({"journey_id": p.journey_id, "legs": out})
+
+    kind = rows.schema["journey_id"].dataType.simpleString()
+    return rows.select("journey_id", "stops", "track").mapInPandas(run, f"journey_id {kind}, legs array<array<struct<lon: double, lat: double>>>")
+
+
+def cheapest(edges: dict[int, list[tuple[int, float]]], place: dict[int, tuple[float, float]], start: int, goal: int) -> tuple[float, list[int]] | None:
+    """The cheapest way over a graph by A*, the straight line being the least that is left; ties to lesser nodes."""
+    left = lambda v: math.hypot(place[v][0] - place[goal][0], place[v][1] - place[goal][1])
+    queue, best, before = [(left(start), start)], {start: 0.0}, {}
+    done = set()
+    while queue:
+        _, v = heapq.heappop(queue)
+        if v == goal:
+            way = [v]
+            while way[-1] != start:
+                way.append(before[way[-1]])
+            return best[v], way[::-1]
+        if v in done:
+            continue
+        done.add(v)
+        for w, cost in edges.get(v, []):
+            if (to := best[v] + cost) < best.get(w, math.inf):
+                best[w], before[w] = to, v
+                heapq.heappush(queue, (to + left(w), w))
+    return None
+
+
+#: Nodes and edges of a rail graph that are sent to every task; a larger network is to be cut by region.
+GRAPH_ROWS = 2_000_000
+#: Tracks of yards and sidings cost so many times their length.
+SIDE_COST = 4.0
+
+
+def routes(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(origin, destination, cost_m, nodes) of the cheapest way over a rail graph, no row without a way.
+
+    nodes: (node, lon, lat); edges: (a, b, service), undirected, ``service`` saying
+    whether it is a yard or siding.  The graph is sent out behind a check of its size.
+    """
+    if nodes.limit(GRAPH_ROWS + 1).count() + edges.limit(GRAPH_ROWS + 1).count() > GRAPH_ROWS:
+        raise ValueError("the graph is too large to send out: cut it by region")
+    xy = {r.node: (r.lon, r.lat) for r in nodes.select("node", "lon", "lat").collect()}
+    scale = math.cos(math.radians(next(iter(xy.values()), (0, 0))[1])) * DEGREE_M
+    xy = {k: (x * scale, y * DEGREE_M) for k, (x, y) in xy.items()}
+    near: dict[int, list[tuple[int, float]]] = {}
+    for r in edges.where("a <> b").select("a", "b", F.coalesce("service", F.lit(False)).alias("side")).distinct().collect():
+        if r.a in xy and r.b in xy:
+            m = math.hypot(xy[r.a][0] - xy[r.b][0], xy[r.a][1] - xy[r.b][1]) * (SIDE_COST if r.side else 1.0)
+            near.setdefault(r.a, []).append((r.b, m))
+            near.setdefault(r.b, []).append((r.a, m))
+    graph = pairs.sparkSession.sparkContext.broadcast((near, xy))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, where = graph.value
+        for p in parts:
+            got = [(a, b, cheapest(known, where, a, b) if a in where and b in where else None) for a, b in zip(p.origin, p.destination, strict=True)]
+            yield pd.DataFrame([(a, b, *g) for a, b, g in got if g], columns=["origin", "destination", "cost_m", "nodes"])
+
+    return pairs.select("origin", "destination").distinct().mapInPandas(run, "origin long, destination long, cost_m double, nodes array<long>")

@@ -75,9 +75,9 @@ def j_stop_alias(t):
     return w.join(alias(t).withColumnRenamed("alias", "ref"), "ref", "left").groupBy("ref").agg(F.min("stop_id").alias("stop_id"))
 
 
-@query(with_("calls latest", "SELECT c.journey_id, c.idx, coalesce(a.kind, b.kind) AS realtime FROM calls c LEFT JOIN latest a ON a.vehicle = c.stop_id AND a.k % 7 = c.idx - 1 LEFT JOIN latest b ON b.vehicle = c.stop_id + 100 WHERE c.journey_id < 500"))
+@query(with_("calls latest", "SELECT c.journey_id, c.idx, coalesce(a.kind, b.kind) AS realtime FROM calls c LEFT JOIN latest a ON a.vehicle = c.stop_id AND a.k % 7 = c.idx - 1 LEFT JOIN latest b ON b.vehicle = c.stop_id + 100"))
 def j_realtime_stop(t):
-    c, lt = t.calls().where("journey_id < 500"), t.latest()
+    c, lt = t.calls(), t.latest()
     a = lt.select(F.col("vehicle").alias("stop_id"), (F.col("k") % 7 + 1).alias("idx"), F.col("kind").alias("exact"))
     b = lt.select((F.col("vehicle") - 100).alias("stop_id"), F.col("kind").alias("other"))
     return c.join(a, ["stop_id", "idx"], "left").join(b, "stop_id", "left").select("journey_id", "idx", F.coalesce("exact", "other").alias("realtime"))
@@ -89,23 +89,32 @@ def j_block_preceding(t):
     return t.journeys().select("journey_id", F.lag("journey_id").over(w).alias("before"))
 
 
-BLOCKS = "SELECT j.block, j.journey_id, j.start AS dep, CASE WHEN l.kind IN ('view', 'click') THEN CAST(l.k AS BIGINT) * 10 - 200 END AS off FROM journeys j LEFT JOIN latest l ON l.vehicle = j.journey_id"
+#: Journeys with the offset that realtime gives them; block 0 is none.  A call counts if it is at most 45 minutes from now (30,000).
+BLOCKS = "SELECT j.block, j.journey_id, j.start, CASE WHEN l.kind IN ('view', 'click') THEN CAST(l.k AS BIGINT) * 10 - 200 END AS off FROM journeys j LEFT JOIN latest l ON l.vehicle = j.journey_id % 400"
+#: Delay of the newest run of the same block that starts earlier and is known to realtime.
+LATE = f"WITH r AS ({BLOCKS}), c AS (SELECT * FROM r WHERE off IS NULL AND block <> 0 AND start BETWEEN 30000 AND 32700), e AS (SELECT c.journey_id, greatest(arg_max(p.off, (p.start, p.journey_id)), 0) AS estimate FROM c JOIN r p ON p.block = c.block AND p.start < c.start AND p.off IS NOT NULL GROUP BY 1)"
 
 
 def block_rows(t):
     late = F.when(F.col("kind").isin("view", "click"), F.col("k") * 10 - 200)
-    return t.journeys().select("block", "journey_id", F.col("start").alias("dep")).join(t.latest().select(F.col("vehicle").alias("journey_id"), late.alias("offset")), "journey_id", "left")
+    block = text.block_key(F.lit("d"), F.lit(None).cast("string"), F.when(F.col("block") != 0, F.col("block").cast("string")))
+    rt = t.latest().select(F.col("vehicle").alias("v"), late.alias("offset"))
+    return t.journeys().select(block.alias("block"), "journey_id", "start").join(rt, F.col("journey_id") % 400 == F.col("v"), "left").drop("v")
 
 
-@query(with_("journeys latest", f"WITH r AS ({BLOCKS}), p AS (SELECT *, last_value(CASE WHEN off IS NOT NULL THEN dep END IGNORE NULLS) OVER w AS pdep, last_value(off IGNORE NULLS) OVER w AS poff FROM r WINDOW w AS (PARTITION BY block ORDER BY dep, journey_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT journey_id, CASE WHEN off IS NULL AND dep - pdep BETWEEN 0 AND 2700 AND poff BETWEEN 1 AND 2700 THEN poff END AS estimate FROM p"))
+def block_estimates(t):
+    rows = block_rows(t)
+    return board.estimates(rows.withColumns({"time": F.col("start"), "scheduled": F.col("offset").isNull()}), rows, 30_000)
+
+
+@query(with_("journeys latest", f"{LATE} SELECT r.journey_id, e.estimate FROM r LEFT JOIN e ON e.journey_id = r.journey_id"))
 def j_block_estimate(t):
-    return board.estimates(block_rows(t)).select("journey_id", "estimate")
+    return block_estimates(t).select("journey_id", "estimate")
 
 
-@query(with_("journeys latest", f"WITH r AS ({BLOCKS}), p AS (SELECT *, last_value(CASE WHEN off IS NOT NULL THEN dep END IGNORE NULLS) OVER w AS pdep, last_value(off IGNORE NULLS) OVER w AS poff FROM r WINDOW w AS (PARTITION BY block ORDER BY dep, journey_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT count(*) AS n, CAST(sum(dep + poff) AS BIGINT) AS total FROM p WHERE off IS NULL AND dep - pdep BETWEEN 0 AND 2700 AND poff BETWEEN 1 AND 2700"))
+@query(with_("journeys latest", f"{LATE} SELECT count(*) AS n, CAST(sum(r.start + e.estimate) AS BIGINT) AS total FROM r JOIN e ON e.journey_id = r.journey_id"))
 def bd_block_apply(t):
-    e = board.estimates(block_rows(t)).where("estimate is not null")
-    return e.agg(F.count("*").alias("n"), F.sum(F.col("dep") + F.col("estimate")).alias("total"))
+    return block_estimates(t).where("estimate is not null").agg(F.count("*").alias("n"), F.sum(F.col("time") + F.col("estimate")).alias("total"))
 
 
 @query(with_("stops", f"SELECT a.stop_id AS from_id, b.stop_id AS to_id, round({FLAT}, 3) AS distance_m FROM stops a JOIN stops b ON a.stop_id <> b.stop_id AND {FLAT} <= 5000"))
@@ -159,13 +168,14 @@ def pl_topology(t):
     return transfers.usable(e, t.stops(), bad).select("from_id", "to_id", "total_s")
 
 
-LINKED = "SELECT o_orderkey AS record, 'c' || (o_custkey % 997) AS identifier FROM orders WHERE o_orderkey % 7 = 0 UNION SELECT o_orderkey, 'd' || CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey % 3 = 0"
+LINKED = "SELECT o_orderkey AS record, 'c' || o_custkey AS identifier FROM orders UNION SELECT o_orderkey, 'd' || CAST(o_orderdate AS DATE) || o_orderpriority || o_orderstatus FROM orders WHERE o_orderstatus = 'P'"
 
 
 def records(t):
-    o = t.orders.where("o_orderkey % 7 = 0")
-    a = o.select(F.col("o_orderkey").alias("record"), F.concat(F.lit("c"), (F.col("o_custkey") % 997).cast("string")).alias("identifier"))
-    b = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("record"), F.concat(F.lit("d"), F.col("o_orderdate").cast("date").cast("string")).alias("identifier"))
+    """Every order under its customer; those of status P under their day and priority too."""
+    o = t.orders
+    a = o.select(F.col("o_orderkey").alias("record"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("identifier"))
+    b = o.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("record"), F.concat(F.lit("d"), F.col("o_orderdate").cast("date").cast("string"), "o_orderpriority", "o_orderstatus").alias("identifier"))
     return a.unionByName(b)
 
 
@@ -197,11 +207,11 @@ def j_board_ride(t):
     return one.join(c, (F.col("origin") == F.col("stop_id")) & (F.col("dep") >= F.col("arr")) & (F.col("dep") <= F.col("arr") + 3600)).select("journey_id", "origin", "stop_id", "dep")
 
 
-@query(with_("stops calls", f"SELECT c.journey_id, c.idx, b.stop_id AS to_id FROM calls c JOIN stops a ON a.stop_id = c.stop_id JOIN stops b ON b.stop_id <> a.stop_id AND {FLAT} <= 3000 WHERE c.journey_id < 300"))
+@query(with_("stops calls", f"SELECT c.journey_id, c.idx, b.stop_id AS to_id FROM calls c JOIN stops a ON a.stop_id = c.stop_id JOIN stops b ON b.stop_id <> a.stop_id AND {FLAT} <= 3000"))
 def j_transfer_edge(t):
     p = t.stops().select(F.col("stop_id").alias("id"), "lat", "lon")
     edges = geo.neighbours(p, p, 3000.0).select(F.col("from_id").alias("stop_id"), "to_id")
-    return t.calls().where("journey_id < 300").join(edges, "stop_id").select("journey_id", "idx", "to_id")
+    return t.calls().join(edges, "stop_id").select("journey_id", "idx", "to_id")
 
 
 @query(with_("journeys", "SELECT a.journey_id FROM journeys a WHERE NOT EXISTS (SELECT 1 FROM journeys r WHERE r.service_id = a.service_id AND r.kind = 'P') OR EXISTS (SELECT 1 FROM journeys r WHERE r.service_id = a.service_id AND r.kind = 'P' AND r.journey_id % 10 = a.journey_id % 10)"))
@@ -212,11 +222,11 @@ def j_transfer_restrict(t):
     return t.journeys().join(held, "service_id", "left").where(F.col("names").isNull() | F.array_contains("names", F.col("journey_id") % 10)).select("journey_id")
 
 
-@query(with_("journeys services", "SELECT j.journey_id, s.service_id FROM journeys j JOIN (SELECT kind, operator_id, min(service_id) AS service_id FROM services GROUP BY kind, operator_id HAVING count(*) = 1) s ON s.operator_id = j.service_id % 25"), name="j_identify_gtfs_trip")
+@query(with_("journeys services", "SELECT j.journey_id, s.service_id FROM journeys j JOIN (SELECT service_id % 1000 AS key, min(service_id) AS service_id FROM services GROUP BY 1 HAVING count(*) = 1) s ON s.key = j.service_id % 1000"), name="j_identify_gtfs_trip")
 def j_identify_gtfs_trip(t):
     """A key identifies only where exactly one row has it."""
-    one = t.services().groupBy("kind", "operator_id").agg(F.count("*").alias("n"), F.min("service_id").alias("found")).where("n = 1").select("operator_id", "found")
-    return t.journeys().join(one, F.col("service_id") % 25 == F.col("operator_id")).select("journey_id", F.col("found").alias("service_id"))
+    one = t.services().groupBy((F.col("service_id") % 1000).alias("key")).agg(F.count("*").alias("n"), F.min("service_id").alias("found")).where("n = 1").select("key", "found")
+    return t.journeys().join(one, F.col("service_id") % 1000 == F.col("key")).select("journey_id", F.col("found").alias("service_id"))
 
 
 @query(with_("services", "SELECT a.service_id, b.p_partkey FROM services a JOIN part b ON upper(replace(a.name, '#', '')) = 'CUSTOMER' || lpad(CAST(b.p_partkey AS VARCHAR), 9, '0')"))
@@ -232,10 +242,10 @@ def j_identify_gtfs_stop(t):
     return t.events.select("event_id", (F.col("user_id") % 25).alias("group_id")).join(one, "group_id").select("event_id", "stop_id")
 
 
-@query(with_("journeys", "SELECT e.event_id, coalesce(a.journey_id, b.journey_id) AS journey_id, CASE WHEN a.journey_id IS NOT NULL THEN 'trip' WHEN b.journey_id IS NOT NULL THEN 'block' ELSE 'none' END AS by_ FROM events e LEFT JOIN journeys a ON a.journey_id = e.event_id AND e.event_id % 2 = 0 LEFT JOIN (SELECT block, max(journey_id) AS journey_id FROM journeys GROUP BY block) b ON b.block = e.user_id"))
+@query(with_("journeys", "SELECT e.event_id, coalesce(a.journey_id, b.journey_id) AS journey_id, CASE WHEN a.journey_id IS NOT NULL THEN 'trip' WHEN b.journey_id IS NOT NULL THEN 'block' ELSE 'none' END AS by_ FROM events e LEFT JOIN journeys a ON a.journey_id = e.event_id LEFT JOIN (SELECT block, max(journey_id) AS journey_id FROM journeys GROUP BY block) b ON b.block = e.user_id"))
 def j_identify_siri(t):
     """The trip where it is known, else the block's last journey."""
-    a = t.journeys().select(F.col("journey_id").alias("event_id"), F.col("journey_id").alias("trip")).where("event_id % 2 = 0")
+    a = t.journeys().select(F.col("journey_id").alias("event_id"), F.col("journey_id").alias("trip"))
     b = t.journeys().groupBy(F.col("block").alias("user_id")).agg(F.max("journey_id").alias("of_block"))
     got = t.events.select("event_id", "user_id").join(a, "event_id", "left").join(b, "user_id", "left")
     return got.select("event_id", F.coalesce("trip", "of_block").alias("journey_id"), F.when(F.col("trip").isNotNull(), "trip").when(F.col("of_block").isNotNull(), "block").otherwise("none").alias("by_"))

@@ -198,11 +198,11 @@ def q_commute_validate(t):
     return t.journeys().select("journey_id", ((F.col("start") % 3600 == 0) | (F.col("service_id") < 100)).alias("bad"))
 
 
-@query(with_("journeys services latest", "SELECT j.journey_id, s.name AS service, l.kind AS realtime FROM journeys j LEFT JOIN services s ON s.service_id = j.service_id LEFT JOIN latest l ON l.vehicle = j.journey_id % 400 WHERE j.journey_id < 50"))
+@query(with_("journeys services latest", "SELECT j.journey_id, s.name AS service, l.kind AS realtime FROM journeys j LEFT JOIN services s ON s.service_id = j.service_id LEFT JOIN latest l ON l.vehicle = j.journey_id % 400"))
 def q_journey_detail(t):
     rt = t.latest().select(F.col("vehicle").alias("v"), F.col("kind").alias("realtime"))
     s = t.services().select("service_id", F.col("name").alias("service"))
-    return t.journeys().where("journey_id < 50").join(s, "service_id", "left").join(rt, F.col("journey_id") % 400 == F.col("v"), "left").select("journey_id", "service", "realtime")
+    return t.journeys().join(s, "service_id", "left").join(rt, F.col("journey_id") % 400 == F.col("v"), "left").select("journey_id", "service", "realtime")
 
 
 #: Columns that each view shows.
@@ -225,13 +225,14 @@ def q_board_unavailable(t):
     return t.calls().select("journey_id", "idx", board.unavailable(acts).alias("unavailable"))
 
 
-@query(with_("calls stops journeys", f"SELECT journey_id, service_id, stop_id, dep FROM (SELECT j.journey_id, j.service_id, c.stop_id, c.dep, row_number() OVER (PARTITION BY j.journey_id ORDER BY c.dep, c.idx, c.stop_id) AS rn FROM journeys j JOIN calls c ON c.journey_id = j.journey_id JOIN stops s ON s.stop_id = c.stop_id WHERE s.group_id = 7 AND c.dep >= 30000 AND {RUNS}) WHERE rn = 1 ORDER BY dep, journey_id LIMIT 25"))
+@query(with_("calls stops journeys", f"SELECT journey_id, service_id, stop_id, dep FROM (SELECT j.journey_id, j.service_id, c.stop_id, c.dep, row_number() OVER (PARTITION BY j.journey_id ORDER BY c.dep, c.idx, c.stop_id) AS rn FROM journeys j JOIN calls c ON c.journey_id = j.journey_id JOIN stops s ON s.stop_id = c.stop_id WHERE s.group_id IN (SELECT group_id FROM stops WHERE stop_id = 1) AND c.dep >= 30000 AND {RUNS}) WHERE rn = 1 ORDER BY dep, journey_id LIMIT 25"))
 def top_board(t):
     """The flagship: journeys that run today, their first call at a group's stops from now on, in order of time."""
     rule = F.struct(F.lit("DayOfWeek").alias("type"), F.date_format("day", "EEEE").alias("value"), F.lit(None).cast("string").alias("description"))
     none = F.array().cast("array<struct<type: string, value: string, description: string>>")
     j = t.journeys().withColumn("availability", F.struct(F.array(rule).alias("match"), none.alias("match_secondary"), none.alias("condition"), none.alias("exclude")))
-    at = board.window(t.calls(), t.stops().where("group_id = 7"), 30000)
+    group = t.stops().where("stop_id = 1").select("group_id")
+    at = board.window(t.calls(), t.stops().join(F.broadcast(group), "group_id", "left_semi"), 30000)  # one row
     return board.running(j, TODAY).join(at, "journey_id").orderBy("dep", "journey_id").limit(25).select("journey_id", "service_id", "stop_id", "dep")
 
 
@@ -241,10 +242,10 @@ def top_window(t):
     return board.window(t.calls(), stops, 40000).select("journey_id", "dep").orderBy("dep", "journey_id").limit(50)
 
 
-@query(with_("calls", "SELECT journey_id, min(dep) AS dep FROM calls WHERE stop_id IN (4, 5) AND dep >= 20000 AND journey_id % 10 = 3 GROUP BY journey_id ORDER BY dep, journey_id LIMIT 20"))
+@query(with_("calls", "SELECT journey_id, min(dep) AS dep FROM calls WHERE stop_id IN (4, 5) AND dep >= 20000 GROUP BY journey_id ORDER BY dep, journey_id LIMIT 20"))
 def top_window_loaded(t):
     stops = t.spark.range(4, 6).select(F.col("id").alias("stop_id"))
-    return board.window(t.calls().where("journey_id % 10 = 3"), stops, 20000).select("journey_id", "dep").orderBy("dep", "journey_id").limit(20)
+    return board.window(t.calls(), stops, 20000).select("journey_id", "dep").orderBy("dep", "journey_id").limit(20)
 
 
 @query(with_("calls", "SELECT stop_id, journey_id, dep FROM (SELECT *, row_number() OVER (PARTITION BY stop_id ORDER BY dep, journey_id, idx) AS rn FROM calls WHERE dep BETWEEN 30000 AND 60000) WHERE rn <= 3"))

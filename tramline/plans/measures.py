@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions import text, times
 from tramline.operators import board, journeys, planner, realtime, transfers
-from tramline.operators.alerts import added_identifiers, compile_subscription, notification_text
+from tramline.operators.alerts import added_identifiers, compile_subscription, match_subscriptions, notification_text
 from tramline.operators.stats import conditional_counts, count_by, identification_rates, rating
 from tramline.plans.base import TODAY, query, with_
 from tramline.plans.lookups import RUNS, alerts, now
@@ -107,9 +107,9 @@ def agg_import_report(t):
     return rows.agg(*[F.sum(F.when(F.col("k") == n, F.col("n")).otherwise(0)).alias(n) for _, n in parts]).select(F.lit("report").alias("name"), "*", F.lit(0).cast("long").alias("unsupported"))
 
 
-@query("SELECT event_type AS line, user_id AS vehicle, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS predictions FROM events WHERE user_id < 20 GROUP BY 1, 2")
+@query("SELECT event_type AS line, user_id AS vehicle, count(*) AS n, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS predictions FROM events GROUP BY 1, 2")
 def agg_tfl_group(t):
-    g = t.events.where("user_id < 20").groupBy(F.col("event_type").alias("line"), F.col("user_id").alias("vehicle")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("ts", "event_id"))).alias("p"))
+    g = t.events.groupBy(F.col("event_type").alias("line"), F.col("user_id").alias("vehicle")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("ts", "event_id"))).alias("p"))
     return g.select("line", "vehicle", "n", F.array_join(F.transform("p", lambda x: x["event_id"].cast("string")), ",").alias("predictions"))
 
 
@@ -163,7 +163,7 @@ def w_identical_journeys(t):
 @query()
 def w_future_stops(t):
     """Each call's arrival under the journey's realtime offset; a fold that SQL of the other engine has no form for."""
-    c = t.calls().where("journey_id < 400").groupBy("journey_id").agg(F.sort_array(F.collect_list(F.struct("idx", "arr", "dep"))).alias("p"))
+    c = t.calls().groupBy("journey_id").agg(F.sort_array(F.collect_list(F.struct("idx", "arr", "dep"))).alias("p"))
     got = c.join(t.latest().select(F.col("vehicle").alias("journey_id"), (F.col("k") * 10 - 300).alias("offset")), "journey_id")
     return got.select("journey_id", F.array_join(times.fold_delay(F.transform("p", lambda x: x["arr"]), F.transform("p", lambda x: x["dep"]), F.col("offset")).cast("array<string>"), ",").alias("arrivals"))
 
@@ -254,10 +254,10 @@ def st_alert_cdc(t):
     return added_identifiers(realtime.with_previous(t.messages())).select("event_id", "change")
 
 
-@query("SELECT s.sub_id, e.event_id FROM events e JOIN (VALUES (1, 'error', 0), (2, 'error', 1), (3, 'signup', 0), (4, 'view', 1)) s(sub_id, type, rest) ON e.event_type = s.type AND e.user_id % 2 = s.rest AND e.value > 50")
+@query("SELECT s.sub_id, e.event_id FROM events e JOIN (VALUES (1, 'error', 50.0), (2, 'error', 0.5), (3, 'signup', 20.0), (4, 'view', 90.0)) s(sub_id, type, threshold) ON e.event_type = s.type AND e.value > s.threshold")
 def st_subscription_match(t):
-    subs = t.spark.createDataFrame([(1, "error", 0), (2, "error", 1), (3, "signup", 0), (4, "view", 1)], "sub_id int, event_type string, rest int")
-    return t.events.join(F.broadcast(subs), "event_type").where("user_id % 2 = rest and value > 50").select("sub_id", "event_id")
+    subs = t.spark.createDataFrame([(1, "error", 50.0), (2, "error", 0.5), (3, "signup", 20.0), (4, "view", 90.0)], "sub_id int, event_type string, threshold double")
+    return match_subscriptions(t.events, subs)
 
 
 @query("SELECT event_id, CASE event_type WHEN 'error' THEN 'Journey cancelled: ' || user_id WHEN 'signup' THEN 'New alert for ' || user_id ELSE 'Update for ' || user_id END AS title FROM events")
@@ -267,8 +267,8 @@ def st_notification_text(t):
 
 @query("SELECT event_id FROM events WHERE event_type IN ('error') AND (user_id IN (3, 5, 8) OR user_id % 10 = 4)")
 def udf_expr_alert(t):
-    rule = compile_subscription({"alert_types": ["error"], "any_of": {"user_id": [3, 5, 8], "user_id % 10": [4]}})
-    return t.events.where(rule).select("event_id")
+    rule = compile_subscription({"alert_types": ["error"], "any_of": {"user_id": [3, 5, 8], "digit": [4]}})
+    return t.events.withColumn("digit", F.col("user_id") % 10).where(rule).select("event_id")
 
 
 @query("SELECT event_id FROM events WHERE user_id IN (1, 2) OR event_type IN ('purchase')")
@@ -283,16 +283,17 @@ def udf_expr_platform(t):
 
 # boards and plans
 BOARD = f"""WITH c AS (SELECT * FROM (SELECT c.journey_id, c.dep, c.stop_id, row_number() OVER (PARTITION BY c.journey_id ORDER BY c.dep, c.idx, c.stop_id) AS rn FROM calls c JOIN stops s ON s.stop_id = c.stop_id WHERE s.group_id < 12 AND c.dep >= 20000) WHERE rn = 1),
- r AS (SELECT j.journey_id, j.service_id, j.block, c.stop_id, c.dep, l.kind = 'error' AS cancelled, CASE WHEN l.kind IN ('view', 'click') THEN l.k * 10 - 200 END AS off FROM journeys j JOIN c ON c.journey_id = j.journey_id LEFT JOIN latest l ON l.vehicle = j.journey_id % 400 WHERE {RUNS} AND coalesce(l.kind <> 'signup', TRUE)),
- p AS (SELECT *, last_value(CASE WHEN off IS NOT NULL THEN dep END IGNORE NULLS) OVER w AS pdep, last_value(off IGNORE NULLS) OVER w AS poff FROM r WINDOW w AS (PARTITION BY block ORDER BY dep, journey_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
- e AS (SELECT *, CASE WHEN off IS NULL AND dep - pdep BETWEEN 0 AND 2700 AND poff BETWEEN 1 AND 2700 THEN poff END AS est FROM p)
- SELECT journey_id, service_id, stop_id, dep, CAST(dep + coalesce(off, est, 0) AS BIGINT) AS time, CASE WHEN cancelled THEN 'Cancelled' WHEN off IS NOT NULL THEN 'RealtimeTracked' WHEN est IS NOT NULL THEN 'Estimated' ELSE 'Scheduled' END AS type FROM e WHERE dep + coalesce(off, est, 0) >= 20000"""
+ r AS (SELECT j.journey_id, j.service_id, j.block, j.start, c.stop_id, c.dep, l.kind = 'error' AS cancelled, CASE WHEN l.kind IN ('view', 'click') THEN l.k * 10 - 200 END AS off FROM journeys j JOIN c ON c.journey_id = j.journey_id LEFT JOIN latest l ON l.vehicle = j.journey_id % 400 WHERE {RUNS} AND coalesce(l.kind <> 'signup', TRUE)),
+ k AS (SELECT j.block, j.start, j.journey_id, l.k * 10 - 200 AS off FROM journeys j JOIN latest l ON l.vehicle = j.journey_id % 400 WHERE l.kind IN ('view', 'click') AND j.block <> 0),
+ e AS (SELECT r.journey_id, greatest(arg_max(k.off, (k.start, k.journey_id)), 0) AS est FROM r JOIN k ON k.block = r.block AND k.start < r.start WHERE r.off IS NULL AND NOT coalesce(r.cancelled, FALSE) AND r.dep BETWEEN 20000 AND 22700 GROUP BY 1)
+ SELECT r.journey_id, service_id, stop_id, dep, CAST(dep + coalesce(off, est, 0) AS BIGINT) AS time, CASE WHEN cancelled THEN 'Cancelled' WHEN off IS NOT NULL THEN 'RealtimeTracked' WHEN est IS NOT NULL THEN 'Estimated' ELSE 'Scheduled' END AS type FROM r LEFT JOIN e ON e.journey_id = r.journey_id WHERE dep + coalesce(off, est, 0) >= 20000"""
 
 
 def _board(t, count):
     rule = F.struct(F.lit("DayOfWeek").alias("type"), F.date_format("day", "EEEE").alias("value"), F.lit(None).cast("string").alias("description"))
     none = F.array().cast("array<struct<type: string, value: string, description: string>>")
     j = t.journeys().withColumn("availability", F.struct(F.array(rule).alias("match"), none.alias("match_secondary"), none.alias("condition"), none.alias("exclude")))
+    j = j.withColumn("block", text.block_key(F.lit("d"), F.lit(None).cast("string"), F.when(F.col("block") != 0, F.col("block").cast("string"))))
     own = F.when(F.col("kind").isin("view", "click"), F.col("k") * 10 - 200)
     rt = t.latest().select("vehicle", own.alias("offset"), (F.col("kind") == "error").alias("cancelled"), (F.col("kind") == "signup").alias("suppressed"))
     rt = t.journeys().select("journey_id", (F.col("journey_id") % 400).alias("vehicle")).join(rt, "vehicle").drop("vehicle")
@@ -317,7 +318,7 @@ def pl_corridor(t):
 @query(with_("calls", "SELECT min(b.arr) AS arrival FROM calls a JOIN calls b ON a.journey_id = b.journey_id AND b.idx > a.idx WHERE a.stop_id = 3 AND b.stop_id = 9 AND a.dep BETWEEN 20000 AND 63200 HAVING min(b.arr) IS NOT NULL"))
 def pl_rides(t):
     none = t.spark.createDataFrame([], "from_id long, to_id long, total_s long")
-    return planner.plan(t.calls(), none, 3, 9, 20000, rides=1).select("arrival")
+    return planner.plan(t.calls(), none, 3, 9, 20000, rides=1, count=1).select("arrival")
 
 
 @query()

@@ -44,9 +44,9 @@ def fn_window_threshold(t):
     return t.events.select("event_id", times.window_threshold(F.lit("2024-01-10").cast("date"), F.col("ts")).alias("s"))
 
 
-@query("SELECT e.event_id, CAST(d AS DATE) AS day FROM events e, generate_series(CAST(e.ts AS DATE) - 1, CAST(e.ts AS DATE) + 1, INTERVAL 1 DAY) g(d) WHERE e.event_id < 100")
+@query("SELECT e.event_id, CAST(d AS DATE) AS day FROM events e, generate_series(CAST(e.ts AS DATE) - 1, CAST(e.ts AS DATE) + 1, INTERVAL 1 DAY) g(d)")
 def fn_rolling_dates(t):
-    return t.events.where("event_id < 100").select("event_id", F.explode(times.rolling_dates(F.col("ts").cast("date"), 1, 1)).alias("day"))
+    return t.events.select("event_id", F.explode(times.rolling_dates(F.col("ts").cast("date"), 1, 1)).alias("day"))
 
 
 @query(with_("calls", "SELECT journey_id, idx, CASE WHEN idx % 5 = 0 THEN NULL ELSE dep END AS seconds FROM calls"))
@@ -89,10 +89,10 @@ def fn_weekday_mon0(t):
     return t.journeys().select("journey_id", times.monday_first(F.col("day")).alias("weekday"))
 
 
-@query(with_("journeys", "SELECT j.journey_id, CAST(d AS DATE) AS day FROM journeys j, generate_series(j.day, j.day + 6, INTERVAL 1 DAY) g(d) WHERE isodow(CAST(d AS DATE)) IN (1, 6) AND j.journey_id < 300"))
+@query(with_("journeys", "SELECT j.journey_id, CAST(d AS DATE) AS day FROM journeys j, generate_series(j.day, j.day + 6, INTERVAL 1 DAY) g(d) WHERE isodow(CAST(d AS DATE)) IN (1, 6)"))
 def fn_vstp_dates(t):
     days = F.filter(F.sequence("day", F.date_add("day", 6)), lambda d: F.weekday(d).isin(0, 5))
-    return t.journeys().where("journey_id < 300").select("journey_id", F.explode(days).alias("day"))
+    return t.journeys().select("journey_id", F.explode(days).alias("day"))
 
 
 @query("SELECT event_id, CAST(86400 - (epoch(date_trunc('second', ts)) - epoch(date_trunc('day', ts))) AS BIGINT) AS left_s FROM events")
@@ -142,10 +142,10 @@ def fn_operator_hash(t):
     return t.customer.select("c_custkey", text.hashed(F.col("c_name"), F.col("c_mktsegment"), F.col("c_nationkey")).alias("id"))
 
 
-@query(with_("journeys", "SELECT journey_id, CASE WHEN block = 0 THEN NULL ELSE service_id || '|' || block END AS key FROM journeys"))
+@query(with_("journeys", "SELECT journey_id, CASE WHEN block = 0 THEN NULL WHEN service_id % 2 = 0 THEN 'dataset' || chr(31) || 'd' || chr(31) || block ELSE 'service' || chr(31) || service_id || chr(31) || block END AS key FROM journeys"))
 def fn_block_key(t):
     block = F.when(F.col("block") != 0, F.col("block").cast("string"))
-    return t.journeys().select("journey_id", text.block_key(F.lit("d"), F.col("service_id").cast("string"), block).alias("key"))
+    return t.journeys().select("journey_id", text.block_key(F.when(F.col("service_id") % 2 == 0, "d"), F.col("service_id").cast("string"), block).alias("key"))
 
 
 @query("SELECT event_id, coalesce(CASE WHEN user_id % 3 = 0 THEN event_type END, CASE WHEN user_id % 5 = 0 THEN 'stop ' || user_id END, 'See Vehicle') AS destination FROM events")

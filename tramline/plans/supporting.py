@@ -392,8 +392,8 @@ def br_plan(t):
     return t.supplier.where("s_nationkey % 5 <> 0").select("s_suppkey", F.when(size.isin("small", "medium", "large"), size).otherwise("small").alias("stage"))
 
 
-@query(with_("legs", "WITH e AS (SELECT DISTINCT origin, destination FROM legs WHERE journey_id % 40 = 1), r AS (SELECT DISTINCT origin AS stop_id FROM legs WHERE journey_id % 500 = 0 UNION SELECT e.origin FROM e JOIN r ON e.destination = r.stop_id) SELECT stop_id FROM r").replace("WITH ", "WITH RECURSIVE ", 1))
+@query(with_("legs", "WITH e AS (SELECT DISTINCT origin, destination FROM legs), r AS (SELECT min(stop_id) AS stop_id FROM calls UNION SELECT e.origin FROM e JOIN r ON e.destination = r.stop_id) SELECT stop_id FROM r").replace("WITH ", "WITH RECURSIVE ", 1))
 def pl_incoming_state(t):
-    """Stops from which edges between equal stops lead to a restricted transfer."""
-    restricted = t.legs().where("journey_id % 500 = 0").select(F.col("origin").alias("stop_id"))
-    return linking.reaching(restricted, t.legs().where("journey_id % 40 = 1").select("origin", "destination"))
+    """Stops from which edges lead to a restricted transfer, which starts at the least stop."""
+    restricted = t.calls().agg(F.min("stop_id").alias("stop_id"))
+    return linking.reaching(restricted, t.legs().select("origin", "destination"))

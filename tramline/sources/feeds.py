@@ -101,8 +101,42 @@ def corpus(spark: SparkSession, path: str, dataset: str) -> DataFrame:
 def gtfs_rt(messages: DataFrame, now: str) -> DataFrame:
     """Positions of a realtime feed that was decoded to JSON (column value), at most 20 minutes old."""
     schema = "id string, vehicle struct<trip: struct<tripId: string, routeId: string, startDate: string>, position: struct<latitude: double, longitude: double, bearing: double>, timestamp: bigint, occupancyStatus: string>"
-    v = messages.select(F.from_json("value", schema).alias("m")).select("m.id", "m.vehicle.*")
+    v = messages.select(F.from_json("value", schema).alias("m")).where("m.vehicle is not null").select("m.id", "m.vehicle.*")
     at = F.timestamp_seconds("timestamp")
     filled = F.create_map(*[F.lit(x) for pair in (("EMPTY", 0), ("MANY_SEATS_AVAILABLE", 25), ("FEW_SEATS_AVAILABLE", 50), ("STANDING_ROOM_ONLY", 75), ("CRUSHED_STANDING_ROOM_ONLY", 90), ("FULL", 100)) for x in pair])
     fresh = v.where(F.col("timestamp").isNull() | (at >= F.lit(now).cast("timestamp") - F.expr("interval 20 minutes")))
     return fresh.select("id", F.col("trip.tripId").alias("trip"), F.col("trip.routeId").alias("route"), at.alias("ts"), F.col("position.longitude").alias("lon"), F.col("position.latitude").alias("lat"), F.col("position.bearing").alias("bearing"), filled[F.col("occupancyStatus")].alias("occupancy"))
+
+
+def gtfs_rt_updates(messages: DataFrame) -> DataFrame:
+    """(id, trip, route, start_date, relationship, ts, idx, stop_id, arrival, departure, delay_s, skipped): each stop time of the trip updates
+    of a realtime feed that was decoded to JSON (column value); a cancelled trip without stop times is one row."""
+    event = "struct<time: bigint, delay: int>"
+    schema = f"id string, tripUpdate struct<trip: struct<tripId: string, routeId: string, startDate: string, scheduleRelationship: string>, timestamp: bigint, stopTimeUpdate: array<struct<stopSequence: int, stopId: string, arrival: {event}, departure: {event}, scheduleRelationship: string>>>"
+    u = messages.select(F.from_json("value", schema).alias("m")).where("m.tripUpdate is not null").select("m.id", "m.tripUpdate.*")
+    u = u.select("id", "trip", "timestamp", F.explode_outer("stopTimeUpdate").alias("s"))
+    kind = F.coalesce("trip.scheduleRelationship", F.lit("SCHEDULED"))
+    return u.select("id", F.col("trip.tripId").alias("trip"), F.col("trip.routeId").alias("route"), F.col("trip.startDate").alias("start_date"), kind.alias("relationship"), F.timestamp_seconds("timestamp").alias("ts"), F.col("s.stopSequence").alias("idx"), F.col("s.stopId").alias("stop_id"), F.timestamp_seconds("s.arrival.time").alias("arrival"), F.timestamp_seconds("s.departure.time").alias("departure"), F.coalesce("s.departure.delay", "s.arrival.delay").alias("delay_s"), (F.coalesce("s.scheduleRelationship", F.lit("")) == "SKIPPED").alias("skipped"))
+
+
+#: Effects of alerts and the types they become; others inform.
+EFFECTS = {"NO_SERVICE": "ServiceSuspended", "REDUCED_SERVICE": "Delays", "SIGNIFICANT_DELAYS": "SevereDelays", "DETOUR": "Warning", "STOP_MOVED": "Warning", "MODIFIED_SERVICE": "Warning"}
+
+
+def gtfs_rt_alerts(messages: DataFrame) -> DataFrame:
+    """(id, type, title, text, valid_from, valid_until, routes, stops, trips) of the alerts of such a feed, first translation."""
+    words = "struct<translation: array<struct<text: string, language: string>>>"
+    schema = f"id string, alert struct<activePeriod: array<struct<start: bigint, end: bigint>>, informedEntity: array<struct<routeId: string, stopId: string, trip: struct<tripId: string>>>, effect: string, headerText: {words}, descriptionText: {words}>"
+    a = messages.select(F.from_json("value", schema).alias("m")).where("m.alert is not null").select("m.id", "m.alert.*")
+    kind = F.lit("Information")
+    for effect, name in EFFECTS.items():
+        kind = F.when(F.col("effect") == effect, name).otherwise(kind)
+    of = lambda field: F.array_distinct(F.array_compact(F.transform(F.coalesce("informedEntity", F.array().cast("array<struct<routeId: string, stopId: string, trip: struct<tripId: string>>>")), field)))
+    first = lambda c: F.get(F.col(f"{c}.translation"), F.lit(0))["text"]
+    return a.select("id", kind.alias("type"), first("headerText").alias("title"), first("descriptionText").alias("text"), F.timestamp_seconds(F.array_min("activePeriod.start")).alias("valid_from"), F.timestamp_seconds(F.array_max("activePeriod.end")).alias("valid_until"), of(lambda x: x["routeId"]).alias("routes"), of(lambda x: x["stopId"]).alias("stops"), of(lambda x: x["trip"]["tripId"]).alias("trips"))
+
+
+def naptan_areas(spark: SparkSession, path: str) -> DataFrame:
+    """Stop areas as stop groups."""
+    s = spark.read.format("xml").option("rowTag", "StopArea").schema("_Status string, StopAreaCode string, Name string, StopAreaType string, Location struct<Translation: struct<Longitude: double, Latitude: double>>").load(path)
+    return s.where("StopAreaCode is not null").select(F.concat(F.lit("gb-stopgroup-"), "StopAreaCode").alias("group_id"), F.col("Name").alias("name"), F.col("StopAreaType").alias("type"), F.col("Location.Translation.Longitude").alias("lon"), F.col("Location.Translation.Latitude").alias("lat"), (F.coalesce("_Status", F.lit("active")) == "active").alias("active"))

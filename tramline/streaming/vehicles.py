@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -74,20 +74,34 @@ def match_alerts(alerts: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return alerts.join(subscriptions, "kind").where("value > threshold").select("sub_id", "event_id")
 
 
-def upsert(batch: DataFrame, path: str, key: str, order: str) -> None:
-    """A sink for foreachBatch: a table with the newest row of each key, replaced in whole.
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that :func:`upsert` keeps: of its complete versions the last, None before the first."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return None
+    # a version is complete when its writer has left the mark
+    names = [s.getPath() for s in fs.listStatus(where) if s.isDirectory()]
+    done = sorted(p.toString() for p in names if p.getName().startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    return spark.read.parquet(done[-1]) if done else None
 
-    The new table goes beside the old one and is named last, so readers see
-    either; a batch that is repeated gives the same table.
+
+def upsert(batch: DataFrame, path: str, key: str, order: str, keep: int = 2) -> None:
+    """A sink for foreachBatch: a table with the newest row of each key, read by :func:`current`.
+
+    Each batch writes a version beside the last one, which stays as it is, so readers
+    see either and a failure leaves the one before; a batch that is repeated gives the
+    same rows.  Of the versions the last ``keep`` stay.
     """
     spark = batch.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    rows = batch
-    if fs.exists(fs_path(path)):
-        rows = spark.read.parquet(path).unionByName(batch)
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    fs = where(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    held = current(spark, path)
+    rows = batch if held is None else held.unionByName(batch)
     cols = [c for c in rows.columns if c != key]
     last = rows.groupBy(key).agg(F.max(F.struct(order, *[c for c in cols if c != order])).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
-    last.select(batch.columns).write.mode("overwrite").parquet(f"{path}.next")
-    fs.delete(fs_path(path), True)
-    fs.rename(fs_path(f"{path}.next"), fs_path(path))
+    versions = sorted(s.getPath().getName() for s in fs.listStatus(where(path))) if fs.exists(where(path)) else []
+    n = max((int(v[1:]) for v in versions if v.startswith("v")), default=0) + 1
+    last.select(batch.columns).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{path}/v{n:012d}")
+    for old in [v for v in versions if v.startswith("v")][: max(0, len(versions) + 1 - keep)]:
+        fs.delete(where(f"{path}/{old}"), True)
