@@ -45,9 +45,11 @@ from tramline.llm.substring_dedup import digest
 
 LENGTH, GRAM = 200, 32
 #: Different runs of one anchor in a task; with more, the anchor is dealt out in pieces.
-PIECE = 512
-#: Bytes of the runs that one suffix array covers.
-SHARD_BYTES = 1 << 18
+PIECE = 4096
+#: Bytes of the runs that one suffix array covers; sorting is fastest while they lie in a core's cache.
+SHARD_BYTES = 1 << 17
+#: A shard of runs of one anchor may be so many times as large, so that there are few shards to merge pair by pair.
+LARGER = 8
 #: Bytes of one text that are read at once.
 SEGMENT = 4 << 20
 
@@ -73,13 +75,13 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     key = wide[sa]
     head = np.concatenate(([True], key[1:] != key[:-1]))
     h = 8
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
 
     def name(at: np.ndarray, head: np.ndarray) -> None:
         """Ranks of the suffixes at the places ``at``, where groups begin at ``head``."""
         firsts = np.flatnonzero(head)
         size = np.diff(np.append(firsts, len(at)))
-        rank[sa[at]] = np.repeat(at[firsts] + size - 1, size)
+        rank[sa[at]] = np.repeat((at[firsts] + size - 1).astype(np.int32), size)
 
     name(np.arange(n), head)
     last = np.append(head[1:], True)
@@ -88,7 +90,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         own = sa[at]
         ahead = own + h
         following = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], -1)
-        group = rank[own]
+        group = rank[own].astype(np.int64)
         order = np.argsort(group * (n + 1) + following + 1)
         group, following = group[order], following[order]
         sa[at] = own[order]
@@ -279,7 +281,7 @@ def compare_shards(parts: Iterator[pa.RecordBatch], length: int, shard_bytes: in
 
     for part in parts:
         for r in zip(*[col.to_pylist() for col in part.columns], strict=True):
-            if rows and size >= shard_bytes:
+            if rows and size >= shard_bytes * (LARGER if rows[0][:2] == r[:2] else 1):
                 yield from map(told, shut(rows))
                 rows, size = [], 0
             rows.append(r)
