@@ -1,5 +1,6 @@
 """Quality rules against brute force; toxicity by restored words and held-out accuracy."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -65,6 +66,102 @@ def test_references_are_exact(spark):
         assert sorted(v / n for v in words.values() if v >= SHARE * n) == pytest.approx(sorted(refs[lang][2]))
 
 
+def brute_divergence(rows):
+    """Verdicts by plain counting: (doc, failed, kept, class distance, word distance)."""
+    from tramline.llm import quality as q
+
+    kinds = lambda t: np.bincount([k for b in (t or "").encode() if (k := q._CLASS[b]) >= 0] or [0], minlength=q.CLASSES) * bool(t)
+    letters = lambda t: [w for w in re.split(r"[\x00-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
+    langs = Counter(x for _, _, x in rows if x is not None)
+    refs = {}
+    for x, n in langs.items():
+        own = [t for _, t, y in rows if y == x]
+        words = Counter(w for t in own for w in letters(t))
+        if n < max(q.LEAST_DOCS, sum(langs.values()) * q.LEAST_SHARE) or words.total() < q.LEAST_WORDS:
+            continue
+        hist = sum(kinds(t) for t in own)
+        refs[x] = hist / hist.sum(), {w: k / words.total() for w, k in words.items() if k >= q.SHARE * words.total()}
+
+    def js(a, b):
+        m = [(x + y) / 2 for x, y in zip(a, b)]
+        kl = lambda p: sum(x * math.log2(x / z) for x, z in zip(p, m) if x > 0)
+        return math.sqrt(max(0.0, (kl(a) + kl(b)) / 2))
+
+    for d, t, x in rows:
+        n_words, _, _, _, _, failed = base_brute(t)
+        hist, words = kinds(t), letters(t)
+        hist = hist / max(1, hist.sum())
+        best = (math.inf, math.inf)
+        for ref, common in ([refs[x]] if x in refs else refs.values()):
+            own = Counter(w for w in words if w in common)
+            a = [own[w] / max(1, len(words)) for w in common] + [(len(words) - own.total()) / max(1, len(words))]
+            got = js(hist, ref), js(a, [*common.values(), max(0.0, 1 - sum(common.values()))])
+            best = min(best, got, key=sum)
+        room = q.SLACK / math.sqrt(max(1, n_words))
+        far = n_words >= q.MIN_WORDS and best[0] < math.inf and (best[0] > q.CLASS_LIMIT + room or best[1] > q.WORD_LIMIT + room)
+        yield d, failed, not failed and not far, *best
+
+
+def test_verdicts(spark):
+    """Every verdict and distance of a table, with rows of unknown, null and too small languages."""
+    from tramline.llm.quality import quality_rules
+
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(-1 - i, t, x) for i, (t, x) in enumerate([(rows[0][1], None), (rows[0][1], "xx"), ("#1 " * 300, "zz"), (rows[1][1], "zz"), ("qq ww " * 40, "en"), (None, "en"), ("", None)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules(docs.repartition(5)).collect()}
+    for d, failed, kept, a, b in brute_divergence(rows):
+        r = got[d]
+        assert (r.base_failed, r.kept) == (failed, kept), d
+        assert (r.class_distance, r.word_distance) == (pytest.approx(a, abs=1e-9), pytest.approx(b, abs=1e-9)), d
+    assert got[-3].class_distance > 0.3  # a language of two documents is no reference of its own
+
+
+def test_summaries_lose_no_common_word():
+    from tramline.llm.quality import merged, summary
+
+    rnd = random.Random(4)
+    whole, parts = Counter(), []
+    for _ in range(40):
+        own = Counter(rnd.choice([1, 2, 3, *range(100, 5000)]) if rnd.random() < 0.9 else rnd.choice([1, 2]) for _ in range(3000))
+        whole += own
+        parts.append(summary(np.array([list(own), list(own.values())], np.uint64), 20))
+    held = set(summary(merged(parts), 20)[0].tolist())
+    assert {w for w, k in whole.items() if k > whole.total() / 20} <= held
+
+
+def test_restoring_finds_planted_disguises(spark):
+    """Disguised words of the lexicon in clean texts: found with restoring, mostly not without."""
+    from tramline.llm import toxicity as t
+
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    counts = t.trigrams(docs)
+    rnd, looks = random.Random(5), {v: k for k, vs in t.LOOKS_LIKE.items() for v in vs}
+    words = ["idiot", "stupid", "moron", "pathetic", "worthless", "disgusting", "loser", "clown"]
+    reader, plain = t.Reader(counts), t.Reader(counts)
+    plain.restore = lambda token: token
+    hit = without = n = 0
+    for _ in range(300):
+        word = rnd.choice(words)
+        kind = rnd.randrange(4)
+        if kind == 0:
+            places = [i for i, ch in enumerate(word) if ch in looks]
+            sign = set(rnd.sample(places, min(len(places), 2)))
+            shown = "".join(looks[ch] if i in sign else ch for i, ch in enumerate(word))
+        elif kind == 1:
+            shown = " ".join(word)
+        elif kind == 2:
+            i = rnd.randrange(1, len(word))
+            shown = word[:i] + word[i] * rnd.randint(3, 5) + word[i + 1 :]
+        else:
+            shown = rnd.choice(".-_*").join(word)
+        text = f"the one {shown} of them"
+        n += 1
+        hit += word in reader.features(text)
+        without += word in plain.features(text)
+    assert hit >= 0.8 * n and without <= 0.4 * n, (hit, without, n)
+
+
 def test_planted_junk(spark):
     from tramline.llm.queries import op5_quality_rules
 

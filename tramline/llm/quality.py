@@ -2,9 +2,11 @@
 
 A language's reference is the histogram of character classes and of common words
 over all its documents.  A common word has at least ``SHARE`` of the language's
-words.  Such a word has that share in at least one partition, so the first pass
-names candidates in each partition and the second counts them over all rows: the
-references are exact, and small whatever the input.
+words.  The first pass names candidates by summaries of ``KEPT`` counters, which lose
+no word of a share over 1 / KEPT however they are merged, and the second counts them
+over all rows: the references are exact, and small whatever the input.  A language
+needs ``LEAST_DOCS`` documents, a thousandth of all, and ``LEAST_WORDS`` words to have
+a reference, so there are at most a thousand; with less it counts as unknown.
 
 A document is compared by the Jensen-Shannon distance (base 2, 0 to 1) of its
 histograms to its language's.  Short texts stray by chance, so the limits widen
@@ -28,6 +30,10 @@ from pyspark.sql import functions as F
 from tramline.llm import _common as c
 
 SHARE, MIN_WORDS = 0.002, 50
+#: Counters of a summary of words, four for each word that can be common, and groups that summaries are merged in.
+KEPT, GROUPS = 2000, 16
+#: Support that a reference needs; besides, LEAST_SHARE of all documents.
+LEAST_DOCS, LEAST_WORDS, LEAST_SHARE = 10, 1000, 0.001
 #: Limits of the distances: classes of characters, common words; SLACK / sqrt(words) is added to both.
 CLASS_LIMIT, WORD_LIMIT, SLACK = 0.18, 0.45, 1.0
 #: The symbols of the base rule.
@@ -93,7 +99,12 @@ def base_counts(offsets: np.ndarray, raw: np.ndarray, first: int, last: int) ->
 
 def references(docs: DataFrame, share: float = SHARE, text_col: str = "text", lang_col: str = "lang") -> dict:
     """Language to (class histogram, common-word hashes in order, their shares)."""
-    texts = docs.select(text_col, lang_col).where(F.col(lang_col).isNotNull())
+    langs = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
+    least = max(LEAST_DOCS, (langs.agg(F.sum("n")).first()[0] or 0) * LEAST_SHARE)
+    known = [r.lang for r in langs.where(F.col("n") >= least).collect()]  # at most 1 / LEAST_SHARE
+    if not known:
+        return {}
+    texts = docs.select(text_col, lang_col).where(F.col(lang_col).isin(known))
 
     def totals(parts: Iterator[pa.RecordBatch], wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         words: dict[str, list[np.ndarray]] = {}
@@ -124,17 +135,22 @@ def references(docs: DataFrame, share: float = SHARE, text_col: str = "text", la
         out = []
         for x, total in n_words.items():
             if wanted is None:
-                u, k = merged(words[x])
-                out += [(x, "w", int(a), int(b)) for a, b in zip(u[k >= share * total].view(np.int64), k[k >= share * total], strict=True)]
+                u, k = summary(merged(words[x]))
+                out += [(x, "w", int(a), int(b)) for a, b in zip(u.view(np.int64), k, strict=True)]
             else:
                 out += [(x, "w", int(a), int(b)) for a, b in zip(wanted.view(np.int64), counted[x], strict=True) if b]
                 out += [(x, "c", k, int(v)) for k, v in enumerate(classes[x])] + [(x, "n", 0, total)]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["lang", "kind", "key", "n"])
 
     schema = "lang string, kind string, key long, n long"
-    # at most 1 / SHARE words of each language and partition; after distinct, those common somewhere
-    named = texts.mapInArrow(lambda parts: totals(parts, None), schema).select("key").distinct().collect()
-    wanted = np.sort(np.array([r.key for r in named], np.int64).view(np.uint64)) if named else np.zeros(1, np.uint64)
+    # summaries of partitions merge to GROUPS a language, of at most KEPT words each, and these on the driver
+    parts = texts.mapInArrow(lambda parts: totals(parts, None), schema).withColumn("kind", F.pmod(F.spark_partition_id(), F.lit(GROUPS)).cast("string"))
+    halves = parts.repartition("lang", "kind").sortWithinPartitions("lang", "kind").mapInArrow(merge_summaries, schema)
+    rough: dict[str, list[np.ndarray]] = {}
+    for r in halves.collect():
+        rough.setdefault(r.lang, []).append(np.array([[r.key], [r.n]], np.int64).view(np.uint64))
+    named = [summary(merged(own))[0] for own in rough.values()]
+    wanted = np.unique(np.concatenate(named)) if named else np.zeros(1, np.uint64)
     rows = texts.mapInArrow(lambda parts: totals(parts, wanted), schema).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).collect()
     out: dict[str, tuple] = {}
     for x in sorted({r.lang for r in rows}):
@@ -144,7 +160,7 @@ def references(docs: DataFrame, share: float = SHARE, text_col: str = "text", la
             if (r.lang, r.kind) == (x, "c"):
                 hist[r.key] = r.n
         common = sorted((int(np.int64(r.key).view(np.uint64)), r.n / total) for r in rows if (r.lang, r.kind) == (x, "w") and r.n >= share * total)
-        if total:
+        if total >= LEAST_WORDS:
             out[x] = (hist / max(1, hist.sum()), np.array([a for a, _ in common], np.uint64), np.array([b for _, b in common]))
     return out
 
@@ -154,6 +170,39 @@ def merged(parts: list[np.ndarray]) -> np.ndarray:
     return np.stack([u, np.bincount(inverse, np.concatenate([p[1] for p in parts]).astype(np.float64)).astype(np.uint64)])
 
 
+def summary(counts: np.ndarray, kept: int = KEPT) -> np.ndarray:
+    """At most ``kept`` of (words, counts), each count lessened by what the first one left out has: a word of a share over 1 / kept stays."""
+    u, k = counts
+    if len(u) <= kept:
+        return counts
+    least = np.partition(k, len(k) - kept - 1)[len(k) - kept - 1]
+    return np.stack([u[k > least], k[k > least] - least])
+
+
+def merge_summaries(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, kind, key, n) in order of the first two: one summary of each."""
+    held: dict[tuple, list[np.ndarray]] = {}
+
+    def told() -> pa.RecordBatch:
+        ((lang, kind), own), = held.items()
+        u, k = summary(merged(own))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array([kind] * len(u), pa.string()), pa.array(u.view(np.int64)), pa.array(k.astype(np.int64))], names=["lang", "kind", "key", "n"])
+
+    for part in parts:
+        names = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
+        rows = np.stack([part.column(i).to_numpy().view(np.uint64) for i in (2, 3)])
+        for name in dict.fromkeys(names):
+            at = [i for i, x in enumerate(names) if x == name]
+            if held and name not in held:
+                yield told()
+            held.setdefault(name, []).append(rows[:, at])
+            if len(held[name]) >= 16:
+                held[name] = [summary(merged(held[name]))]
+    if held:
+        yield told()
+
+
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distance of each row of p to q."""
     m = (p + q) / 2
