@@ -31,3 +31,29 @@ def test_trains_beyond_six_digits(spark, tmp_path):
     assert sum("'123456'" in x for x in theirs) == 2
     same_as_sql(spark, "src_cif_journey", tmp_path, ["orders", "lineitem"])
     same_as_sql(spark, "src_cif_mca", tmp_path, ["orders", "lineitem"])
+
+
+def test_snaps_equal_a_search_of_all_choices():
+    """Ways strictly increasing with the least sum of distances, ties to the first place along the track."""
+    import itertools
+    import random
+
+    import numpy as np
+
+    from tramline.operators.tracks import least_before, snapped
+
+    rnd = random.Random(5)
+    for _ in range(300):
+        options = []
+        for _ in range(rnd.randint(1, 4)):
+            along = sorted(float(rnd.randrange(8)) for _ in range(rnd.randint(0, 5)))
+            options.append((np.array([float(rnd.randrange(1, 4)) for _ in along]), np.array(along)))
+        ways = [c for c in itertools.product(*[range(len(a)) for a, _ in options]) if all(options[i][1][x] < options[i + 1][1][y] for i, (x, y) in enumerate(zip(c, c[1:], strict=False)))]
+        best = min((sum(options[i][0][j] for i, j in enumerate(c)) for c in ways), default=None)
+        got = snapped(iter(options))
+        assert (got is None) == (best is None)
+        if got is not None:
+            assert (np.diff(got) > 0).all()
+            assert sum(min(a[w == x]) for (a, w), x in zip(options, got, strict=True)) == best
+    where, total = least_before(np.array([2.0, 1.0, 1.0]), np.array([0.0, 1.0, 1.0]), np.array([0.0, 1.0, 2.0]))
+    assert total.tolist() == [np.inf, 2.0, 1.0] and where.tolist()[1:] == [0, 1]

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,32 +106,73 @@ def journey_positions(rows: DataFrame) -> DataFrame:
     return rows.select("journey_id", "lon", "lat", "legs", "track").mapInPandas(run, f"journey_id {kind}, leg int, progress double, distance_m double")
 
 
-def cut(xy: np.ndarray, lonlat: list, s: float, e: float) -> list[dict]:
-    """The stretch of a track from ``s`` to ``e`` metres along it."""
-    upto = np.concatenate(([0.0], np.cumsum(np.hypot(*np.diff(xy, axis=0).T))))
-    ll = np.array([(p["lon"], p["lat"]) for p in lonlat], float)
-    at = lambda m: {"lon": float(np.interp(m, upto, ll[:, 0])), "lat": float(np.interp(m, upto, ll[:, 1]))}
-    inner = [{"lon": float(x), "lat": float(y)} for (x, y), m in zip(ll, upto, strict=True) if s < m < e]
-    return [at(s), *inner, at(e)]
+def segments(xy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, steps and lengths of a track's segments, and the way along it to each point."""
+    d = np.diff(xy, axis=0)
+    length = np.hypot(*d.T)
+    return xy[:-1], d, length, np.concatenate(([0.0], np.cumsum(length)))
+
+
+def candidates(line: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], at: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest places of a track's segments to one stop that lie within reach: distances and ways along, in order along the track."""
+    a, d, length, upto = line
+    rel = at - a
+    t = np.clip((rel * d).sum(-1) / np.where(length > 0, length**2, 1.0), 0.0, 1.0)
+    away = np.hypot(*(rel - t[:, None] * d).T)
+    k = np.flatnonzero(away <= reach)
+    return away[k], upto[k] + t[k] * length[k]
+
+
+def least_before(total: np.ndarray, along: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each way in ``to`` the first of the least totals among places strictly before it (``along`` in order), and that total; infinity where there is none."""
+    least = np.minimum.accumulate(total)
+    fresh = np.concatenate(([True], least[1:] < least[:-1]))
+    where = np.maximum.accumulate(np.where(fresh, np.arange(len(total)), 0))
+    n = np.searchsorted(along, to, "left")
+    last = np.maximum(n - 1, 0)
+    return where[last], np.where(n > 0, least[last], np.inf)
 
 
 def ordered_snaps(away: np.ndarray, along: np.ndarray, reach: float) -> np.ndarray | None:
     """Of candidates (stops by places: distance, way along) one for each stop, ways strictly increasing, with the least sum of distances."""
-    cost = np.where(away <= reach, away, np.inf)
-    total, back = cost[0].copy(), []
-    for i in range(1, len(cost)):
-        ok = along[i - 1][:, None] < along[i][None, :]
-        via = np.where(ok, total[:, None], np.inf)
-        k = via.argmin(axis=0)
-        back.append(k)
-        total = via[k, np.arange(len(k))] + cost[i]
-    if not np.isfinite(total).any():
-        return None
+    options = []
+    for far, way in zip(away, along, strict=True):
+        k = np.flatnonzero(far <= reach)
+        k = k[np.argsort(way[k], kind="stable")]
+        options.append((far[k], way[k]))
+    return snapped(iter(options))
+
+
+def snapped(options: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray | None:
+    """The same of each stop's candidates within reach, in order along the track; stops are looked at as long as an order is possible."""
+    ways, back, total = [], [], np.zeros(0)
+    for i, (away, along) in enumerate(options):
+        if i and len(along):
+            k, via = least_before(total, ways[-1], along)
+            back.append(k)
+            total = via + away
+        else:
+            total = away
+        if not np.isfinite(total).any():
+            return None
+        ways.append(along)
     at = [int(total.argmin())]
     for k in reversed(back):
         at.append(int(k[at[-1]]))
     at.reverse()
-    return np.array([along[i][j] for i, j in enumerate(at)])
+    return np.array([w[j] for w, j in zip(ways, at, strict=True)])
+
+
+_POINT = pa.struct([("lon", pa.float64()), ("lat", pa.float64())])
+_SPAN = pa.struct([("head", _POINT), ("first", pa.int32()), ("inner", pa.int32()), ("tail", _POINT)])
+
+
+def spans(lonlat: np.ndarray, upto: np.ndarray, snaps: np.ndarray, overlap: float) -> list[dict]:
+    """The stretch between each two ways along a track: its ends, and the first and number of the track's points between them."""
+    s, e = np.maximum(0.0, snaps[:-1] - overlap), np.minimum(upto[-1], snaps[1:] + overlap)
+    first, after = np.searchsorted(upto, s, "right"), np.searchsorted(upto, e, "left")
+    ends = [[{"lon": float(x), "lat": float(y)} for x, y in zip(np.interp(m, upto, lonlat[:, 0]), np.interp(m, upto, lonlat[:, 1]), strict=True)] for m in (s, e)]
+    return [{"head": h, "first": int(f), "inner": max(0, int(n - f)), "tail": t} for h, f, n, t in zip(ends[0], first, after, ends[1], strict=True)]
 
 
 def split_legs(rows: DataFrame, reach: float = 200.0, overlap: float = 5.0) -> DataFrame:
@@ -140,32 +182,34 @@ def split_legs(rows: DataFrame, reach: float = 200.0, overlap: float = 5.0) -> D
     Stops snap to segments within ``reach`` metres, in order along the track, by the
     least sum of distances; each leg goes ``overlap`` metres beyond its stops.  Where
     no such order exists every leg keeps the whole track.
+
+    Python gives where each leg begins and ends, not its points: legs are made of the
+    track's own array, so a whole track is not copied for each leg.
     """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in parts:
-            out = []
-            for stops, track in zip(p.stops, p.track, strict=True):
+            n_legs, found = [], []
+            for stops, track in zip(p.column(1).to_pylist(), p.column(2).to_pylist(), strict=True):
                 n = 0 if stops is None else max(0, len(stops) - 1)
+                n_legs.append(n)
                 if track is None or len(track) < 2 or not n:
-                    out.append([[] for _ in range(n)])
+                    found.append(None)
                     continue
-                line = metres_of([*track, *stops])
-                xy, at = line[: len(track)], line[len(track) :]
-                # candidates: the nearest place of every segment
-                d = np.diff(xy, axis=0)
-                length = np.hypot(*d.T)
-                upto = np.concatenate(([0.0], np.cumsum(length)))
-                rel = at[:, None, :] - xy[None, :-1]
-                t = np.clip((rel * d).sum(-1) / np.where(length > 0, length**2, 1.0), 0.0, 1.0)
-                away = np.hypot(*np.moveaxis(rel - t[..., None] * d, -1, 0))
-                snaps = ordered_snaps(away, upto[:-1] + t * length, reach)
-                whole = [{"lon": q["lon"], "lat": q["lat"]} for q in track]
-                out.append([whole] * n if snaps is None else [cut(xy, track, max(0.0, a - overlap), min(upto[-1], b + overlap)) for a, b in zip(snaps, snaps[1:], strict=False)])
-            yield pd.DataFrame({"journey_id": p.journey_id, "legs": out})
-
-    kind = rows.schema["journey_id"].dataType.simpleString()
-    return rows.select("journey_id", "stops", "track").mapInPandas(run, f"journey_id {kind}, legs array<array<struct<lon: double, lat: double>>>")
+                xy = metres_of([*track, *stops])
+                line = segments(xy[: len(track)])
+                snaps = snapped(candidates(line, at, reach) for at in xy[len(track) :])
+                lonlat = np.array([(q["lon"], q["lat"]) for q in track], float)
+                found.append(None if snaps is None else spans(lonlat, line[3], snaps, overlap))
+            yield pa.RecordBatch.from_arrays([p.column(0), p.column(2), pa.array(n_legs, pa.int32()), pa.array(found, pa.list_(_SPAN))], names=["journey_id", "track", "n", "spans"])
+
+    kind, point = rows.schema["journey_id"].dataType.simpleString(), "struct<lon: double, lat: double>"
+    got = rows.select("journey_id", "stops", F.col("track").cast(f"array<{point}>").alias("track")).mapInArrow(run, f"journey_id {kind}, track array<{point}>, n int, spans array<struct<head: {point}, first: int, inner: int, tail: {point}>>")
+    cut = F.transform("spans", lambda s: F.concat(F.array(s["head"]), F.slice("track", s["first"] + 1, s["inner"]), F.array(s["tail"])))
+    none = F.array().cast(f"array<{point}>")
+    whole = F.when(F.size(F.coalesce("track", none)) < 2, none).otherwise(F.col("track"))
+    legs = F.when(F.col("n") == 0, F.array().cast(f"array<array<{point}>>")).otherwise(F.coalesce(cut, F.array_repeat(whole, F.col("n"))))
+    return got.select("journey_id", legs.cast(f"array<array<{point}>>").alias("legs"))
 
 
 def cheapest(edges: dict[int, list[tuple[int, float]]], place: dict[int, tuple[float, float]], start: int, goal: int) -> tuple[float, list[int]] | None:
