@@ -57,3 +57,21 @@ def test_snaps_equal_a_search_of_all_choices():
             assert sum(min(a[w == x]) for (a, w), x in zip(options, got, strict=True)) == best
     where, total = least_before(np.array([2.0, 1.0, 1.0]), np.array([0.0, 1.0, 1.0]), np.array([0.0, 1.0, 2.0]))
     assert total.tolist() == [np.inf, 2.0, 1.0] and where.tolist()[1:] == [0, 1]
+
+
+def test_legs_of_a_track_that_cannot_be_cut_share_it(spark):
+    """600 stops at one place: no order exists, and each of 599 legs is the whole track, which is given once."""
+    from pyspark.sql import functions as F
+
+    from tramline.operators.tracks import split_legs
+
+    line = "array<struct<lon: double, lat: double>>"
+    track = [(0.0001 * (i // 600), 51.0) for i in range(3000)]
+    rows = spark.createDataFrame([(1, track[:600], track)], f"journey_id long, stops {line}, track {line}").withColumn("stops", F.slice("stops", 1, 600))
+    df = split_legs(rows)
+    plan = df._jdf.queryExecution().analyzed().toString()
+    # what Python gives back are spans: no array of legs
+    assert "spans" in plan
+    got = df.select(F.size("legs").alias("n"), F.size(F.element_at("legs", -1)).alias("last"), F.forall("legs", lambda x: F.size(x) == 3000).alias("all")).first()
+    assert tuple(got) == (599, 3000, True)
+
