@@ -75,3 +75,33 @@ def test_legs_of_a_track_that_cannot_be_cut_share_it(spark):
     got = df.select(F.size("legs").alias("n"), F.size(F.element_at("legs", -1)).alias("last"), F.forall("legs", lambda x: F.size(x) == 3000).alias("all")).first()
     assert tuple(got) == (599, 3000, True)
 
+
+
+def test_ways_over_a_graph_too_large_to_send_out(spark):
+    """By rounds of joins the costs are those of A*, and each way is one of edges that add up to its cost."""
+    import math
+    import random
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from tramline.operators.tracks import routes
+
+    rnd = random.Random(8)
+    place = {i: (rnd.random() * 0.1, 51 + rnd.random() * 0.1) for i in range(60)}
+    ways = [(*rnd.sample(range(50), 2), rnd.random() < 0.3) for _ in range(90)] + [(50, 51, False), (3, 3, False), (4, 99, False), (1, 2, True), (2, 1, False)]
+    nodes = spark.createDataFrame([(k, *v) for k, v in place.items()], "node long, lon double, lat double")
+    edges = spark.createDataFrame(ways, "a long, b long, service boolean")
+    pairs = spark.range(61).select(F.explode(F.array(*[F.lit(x).cast("long") for x in (0, 7, 50, 98)])).alias("origin"), F.col("id").alias("destination"))
+    sent = {(r.origin, r.destination): r for r in routes(pairs, nodes, edges).collect()}
+    rounds = {(r.origin, r.destination): r for r in routes(pairs, nodes, edges, most=10).collect()}
+    assert rounds.keys() == sent.keys() and (50, 51) in rounds and (0, 51) not in rounds
+    scale = math.cos(math.radians(place[0][1]))
+    least = {}
+    for a, b, side in ways:
+        if a in place and b in place:
+            m = math.hypot((place[a][0] - place[b][0]) * scale, place[a][1] - place[b][1]) * 111_320.0 * (4.0 if side else 1.0)
+            least[a, b] = least[b, a] = min(m, least.get((a, b), math.inf))
+    for k, r in rounds.items():
+        assert r.cost_m == pytest.approx(sent[k].cost_m) and (r.nodes[0], r.nodes[-1]) == k
+        assert sum(least[x] for x in zip(r.nodes, r.nodes[1:], strict=False)) == pytest.approx(r.cost_m)

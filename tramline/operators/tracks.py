@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions.geo import DEGREE_M
+from tramline.operators.linking import cut_lineage, drop_tables
 
 
 def simplified(points: list[tuple[float, float]], metres: float) -> list[tuple[float, float]]:
@@ -234,29 +235,35 @@ def cheapest(edges: dict[int, list[tuple[int, float]]], place: dict[int, tuple[f
     return None
 
 
-#: Nodes and edges of a rail graph that are sent to every task; a larger network is to be cut by region.
+#: Nodes and edges of a rail graph that are sent to every task; a larger one is searched by rounds of joins.
 GRAPH_ROWS = 2_000_000
 #: Tracks of yards and sidings cost so many times their length.
 SIDE_COST = 4.0
 
 
-def routes(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def routes(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = GRAPH_ROWS) -> DataFrame:
     """(origin, destination, cost_m, nodes) of the cheapest way over a rail graph, no row without a way.
 
     nodes: (node, lon, lat); edges: (a, b, service), undirected, ``service`` saying
-    whether it is a yard or siding.  The graph is sent out behind a check of its size.
+    whether it is a yard or siding.  A graph of up to ``most`` rows is sent out and
+    searched by A*; a larger one is neither collected nor sent out (:func:`ways_by_rounds`).
     """
-    if nodes.limit(GRAPH_ROWS + 1).count() + edges.limit(GRAPH_ROWS + 1).count() > GRAPH_ROWS:
-        raise ValueError("the graph is too large to send out: cut it by region")
-    xy = {r.node: (r.lon, r.lat) for r in nodes.select("node", "lon", "lat").collect()}
-    scale = math.cos(math.radians(next(iter(xy.values()), (0, 0))[1])) * DEGREE_M
-    xy = {k: (x * scale, y * DEGREE_M) for k, (x, y) in xy.items()}
+    # in one direction, each pair once, the main line before a siding
+    ends = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.coalesce("service", F.lit(False)).alias("side"))
+    links = cut_lineage(ends.groupBy("a", "b").agg(F.min("side").alias("side")))
+    first = nodes.where("node is not null").orderBy("node").select("lat").first()
+    scale = math.cos(math.radians(first.lat if first else 0.0)) * DEGREE_M
+    placed = nodes.select("node", (F.col("lon") * scale).alias("x"), (F.col("lat") * DEGREE_M).alias("y"))
+    if nodes.limit(most + 1).count() + links.count() > most:
+        return ways_by_rounds(pairs, placed, links)
+    xy = {r.node: (r.x, r.y) for r in placed.collect()}
     near: dict[int, list[tuple[int, float]]] = {}
-    for r in edges.where("a <> b").select("a", "b", F.coalesce("service", F.lit(False)).alias("side")).distinct().collect():
+    for r in links.collect():
         if r.a in xy and r.b in xy:
             m = math.hypot(xy[r.a][0] - xy[r.b][0], xy[r.a][1] - xy[r.b][1]) * (SIDE_COST if r.side else 1.0)
             near.setdefault(r.a, []).append((r.b, m))
             near.setdefault(r.b, []).append((r.a, m))
+    drop_tables(links)
     graph = pairs.sparkSession.sparkContext.broadcast((near, xy))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,3 +273,48 @@ def routes(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
             yield pd.DataFrame([(a, b, *g) for a, b, g in got if g], columns=["origin", "destination", "cost_m", "nodes"])
 
     return pairs.select("origin", "destination").distinct().mapInPandas(run, "origin long, destination long, cost_m double, nodes array<long>")
+
+
+def ways_by_rounds(pairs: DataFrame, placed: DataFrame, links: DataFrame) -> DataFrame:
+    """The same over a graph of any size: from each origin, costs that got less in a round are passed on over their edges in the next.
+
+    placed: (node, x, y) in metres; links: (a, b, side), each once.  It ends when no
+    cost gets less.  Of ways of equal cost that with the fewest nodes counts, ties to
+    the least node before; so ways back end.  There are as many rounds as the
+    longest of the cheapest ways has edges, each a table in the shared folder.
+    """
+    asked = cut_lineage(pairs.select("origin", "destination").where("origin is not null and destination is not null").distinct())
+    one, two = (placed.select(F.col("node").alias(v), F.col("x").alias(f"x{v}"), F.col("y").alias(f"y{v}")) for v in "ab")
+    cost = F.hypot(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")) * F.when(F.col("side"), SIDE_COST).otherwise(1.0)
+    costs = links.join(one, "a").join(two, "b").select("a", "b", cost.alias("m"))
+    both = cut_lineage(costs.union(costs.select("b", "a", "m")).select(F.col("a").alias("node"), F.col("b").alias("to"), "m"))
+    start = asked.select("origin", F.col("origin").alias("node")).distinct().join(placed.select("node"), "node", "left_semi")
+    # a label is (cost, edges so far, node before); it is its order as well
+    label = F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("before"))
+    known = cut_lineage(start.select("origin", "node", label.alias("l")))
+    fresh = known
+    while True:
+        on = F.struct((F.col("l.cost") + F.col("m")).alias("cost"), (F.col("l.hops") + 1).alias("hops"), F.col("node").cast("long").alias("before"))
+        found = fresh.join(both, "node").select("origin", F.col("to").alias("node"), on.alias("n")).groupBy("origin", "node").agg(F.min("n").alias("n"))
+        after = cut_lineage(found.join(known, ["origin", "node"], "left").where("l is null or n < l").select("origin", "node", F.col("n").alias("l")))
+        if after.isEmpty():
+            drop_tables(after, both, *([] if fresh is known else [fresh]))
+            break
+        more = cut_lineage(known.join(after.select("origin", "node"), ["origin", "node"], "left_anti").unionByName(after))
+        drop_tables(known, *([] if fresh is known else [fresh]))
+        known, fresh = more, after
+    # back from the destinations, a node a round
+    way = asked.join(known.withColumnRenamed("node", "destination"), ["origin", "destination"])
+    way = cut_lineage(way.select("origin", "destination", F.col("l.cost").alias("cost_m"), F.array(F.col("destination").cast("long")).alias("nodes"), F.col("l.before").alias("at")))
+    done = []
+    while True:
+        done.append(way.where("at is null").drop("at"))
+        open_ = way.where("at is not null")
+        if open_.isEmpty():
+            break
+        before = known.select("origin", F.col("node").alias("at"), F.col("l.before").alias("next"))
+        way = cut_lineage(open_.join(before, ["origin", "at"]).select("origin", "destination", "cost_m", F.concat(F.array("at"), "nodes").alias("nodes"), F.col("next").alias("at")))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.select(F.col("origin").cast("long").alias("origin"), F.col("destination").cast("long").alias("destination"), "cost_m", "nodes")
