@@ -105,3 +105,55 @@ def test_ways_over_a_graph_too_large_to_send_out(spark):
     for k, r in rounds.items():
         assert r.cost_m == pytest.approx(sent[k].cost_m) and (r.nodes[0], r.nodes[-1]) == k
         assert sum(least[x] for x in zip(r.nodes, r.nodes[1:], strict=False)) == pytest.approx(r.cost_m)
+
+
+def test_near_duplicates_of_a_large_group_are_those_of_all_candidates(spark):
+    """Many texts that are nearly similar, each with one that is: no star of a large group may leave that link out."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tramline.llm.simhash import NEAR, NEAR_BITS, NEAR_REACH, Compare, near_components, shapes_of, similar
+
+    rnd = random.Random(12)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(110)]
+
+    def edited(words, n):
+        new = list(words)
+        for at in rnd.sample(range(110), n):
+            new[at] = f"w{rnd.randrange(5000)}"
+        return new
+
+    # half of them pass the filter with each other but are not similar, and each has one that is
+    texts = [edited(base, 2) for _ in range(100)]
+    texts += [edited(t, 1) for t in texts]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows, nodes = near_components(docs)
+    got = {r.id: r.root for r in rows.join(nodes, "node").collect()}
+    shapes, sets = shapes_of(pa.array([" ".join(t) for t in texts]))
+    s = shapes.view(np.int64)
+    root = list(range(len(texts)))
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    # a pair meets where a segment of the words' fingerprint differs by one bit at most and its chain holds
+    for i in range(len(texts)):
+        for j in range(i):
+            near = any(
+                len(Compare(NEAR_REACH, NEAR_BITS).within(np.array([[k << 16, 0, 0, 0, 0, n, s[n, 1], s[n, 2], s[n, 3]] for n in (i, j)]), np.array([0]), np.array([1]))[0])
+                and bin((int(shapes[i, 1]) ^ int(shapes[j, 1])) >> (16 * k) & 0xFFFF).count("1") <= 1
+                for k in range(4)
+            )
+            if near and similar(sets[i], sets[j], NEAR):
+                root[find(i)] = find(j)
+    want = {}
+    for i in range(len(texts)):
+        want.setdefault(find(i), set()).add(i)
+    mine = {}
+    for i, r in got.items():
+        mine.setdefault(r, set()).add(i)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values())) and len(want) < 150

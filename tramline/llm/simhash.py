@@ -22,8 +22,11 @@ filter lets through, at least 9 of 10.
 Distinct fingerprints stand for their documents, so exact copies make no pairs.
 Groups are compared in numpy and give at most a spanning forest of links, not
 their pairs; for near-duplicates groups up to ``SMALL`` give all candidates, larger
-ones stars about the members that are nearest to what most have in common, as copies
-are nearer to their source than to each other.  A group over ``BLOCK`` fingerprints is dealt out in pieces, and
+ones first stars about the members that are nearest to what most have in common, as copies
+are nearer to their source than to each other.  Stars leave candidates out, so when
+their links are known, these groups are compared a second time, and give every candidate
+between what is not connected yet: the groups of near-duplicates are those of all
+candidates.  A group over ``BLOCK`` fingerprints is dealt out in pieces, and
 each pair of pieces is compared in a task of its own: no task holds more than
 two pieces, however common a segment is, and no link is lost.
 
@@ -56,7 +59,7 @@ BLOCK = 4096
 NEAR_REACH, NEAR_SHINGLE, NEAR, NEAR_BITS, SURE_BITS = 10, 5, 0.8, 34, 13
 #: How often a word counts in the fingerprint of words: beyond that, common words would make all texts of a language alike.
 WEIGHT = 3
-#: Stars that a candidate joins unless it leaves little doubt.
+#: Stars that a candidate joins in the first comparison, unless it leaves little doubt; the second has no such bound.
 STARS = 3
 #: Groups up to this size are compared together.
 SMALL = 32
@@ -145,10 +148,11 @@ class Compare:
     """Comparisons of rows (key, one, two, piece, probe, node, print, and two numbers of bits or none).
 
     Without ``bits`` what passes is a link.  With them it is a candidate, to be compared exactly.
+    With ``rest`` rows go on with (root, met), and what stars may have left out is given.
     """
 
-    def __init__(self, reach: int, bits: int | None = None):
-        self.reach, self.bits = reach, bits
+    def __init__(self, reach: int, bits: int | None = None, rest: bool = False):
+        self.reach, self.bits, self.rest = reach, bits, rest
 
     def within(self, rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the pairs i, j pass the chain from their key's segment on, then the full check, then that of more bits; and unequal bits of these."""
@@ -222,6 +226,22 @@ class Compare:
                     tried[i] = STARS
         return out
 
+    def crossing(self, rows: np.ndarray, left: np.ndarray) -> Iterator[np.ndarray]:
+        """All candidates of one group between different roots of which one was a candidate before: a star leaves no others out."""
+        root, met, home, n = rows[:, 9], rows[:, 10] > 0, rows[:, 4] == 0, np.arange(len(rows))
+        if not met.any() or (root == root[0]).all():
+            return
+        mixed = not (left.all() or not left.any())
+        for i in np.flatnonzero(home).tolist():
+            open_ = (root != root[i]) & (~home | (n > i))  # two rows at home meet once
+            if not met[i]:
+                open_ &= met
+            if mixed:
+                open_ &= left != left[i]
+            others = np.flatnonzero(open_)
+            if len(others) and len(at := self.within(rows, np.full(len(others), i), others)[0]):
+                yield np.stack([np.full(len(at), i), others[at]], axis=1)
+
     def small_forests(self, rows: np.ndarray, group: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
         """The same for many small groups at once, of candidates all: rows in order of group, probes last in each, compared at each distance."""
         pairs = []
@@ -252,9 +272,15 @@ class Compare:
         heads = np.flatnonzero(np.concatenate(([True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1))))
         sizes = np.diff(np.append(heads, len(rows)))
         edges: list[np.ndarray] = []
+
+        def batch() -> pa.RecordBatch:
+            e = np.concatenate(edges)
+            edges.clear()
+            return pa.RecordBatch.from_arrays([pa.array(rows[e[:, 0], 5]), pa.array(rows[e[:, 1], 5])], names=["a", "b"])
+
         small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes) & (rows[:, 1] == rows[:, 2])
         at = np.flatnonzero(small)
-        if len(at):
+        if len(at) and not self.rest:
             found = self.small_forests(rows[at], np.repeat(np.arange(len(heads)), sizes)[at], np.minimum(sizes, SMALL))
             if found:
                 edges.append(at[np.array(found)])
@@ -262,12 +288,20 @@ class Compare:
             if small[heads[g]]:
                 continue
             s = slice(heads[g], heads[g] + sizes[g])
+            if self.rest:
+                held = 0
+                for found in self.crossing(rows[s], rows[s, 3] == rows[heads[g], 1]):
+                    edges.append(found + heads[g])
+                    held += len(found)
+                    if held > 1 << 20:
+                        yield batch()
+                        held = 0
+                continue
             found = (self.forest if self.bits is None else self.stars)(rows[s], rows[s, 3] == rows[heads[g], 1])
             if found:
                 edges.append(np.array(found) + heads[g])
         if edges:
-            e = np.concatenate(edges)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[e[:, 0], 5]), pa.array(rows[e[:, 1], 5])], names=["a", "b"])
+            yield batch()
 
     def __call__(self, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -310,19 +344,25 @@ def spread(parts: Iterator[pa.RecordBatch], probes: bool) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int32)), pa.array(np.concatenate(probe)), *taken.columns], names=["key", "probe", *part.schema.names])
 
 
-def links(shapes: DataFrame, block: int = BLOCK, reach: int = REACH, bits: int | None = None) -> DataFrame:
-    """Links (a, b) that connect the nodes of distinct rows (node, print) that are near; with ``bits`` candidates of rows (node, print, s0, s1)."""
-    rest = shapes.columns
-    kind = ", ".join(f"{x} long" for x in rest)
+def links(shapes: DataFrame, block: int = BLOCK, reach: int = REACH, bits: int | None = None, rest: bool = False) -> DataFrame:
+    """Links (a, b) that connect the nodes of distinct rows (node, print) that are near; with ``bits`` candidates of rows (node, print, s0, s1).
+
+    With ``rest`` the candidates of rows (node, print, s0, s1, root, met) that the stars of large groups may have left out.
+    """
+    own = shapes.columns
+    kind = ", ".join(f"{x} {k}" for x, k in shapes.dtypes)
     keyed = shapes.mapInArrow(lambda parts: spread(parts, reach >= SEGMENTS), f"key int, probe boolean, {kind}")
     # at most 4 * 65,536 keys exist, and only those of large groups are sent out
     large = keyed.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).alias("pieces"))
-    dealt = keyed.join(F.broadcast(large), "key", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    if rest:
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("count"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("met").alias("met"))
+        large = sizes.where((F.col("count") > SMALL) & F.col("met") & (F.col("low") < F.col("high"))).select("key", F.ceil(F.col("count") / block).alias("pieces"))
+    dealt = keyed.join(F.broadcast(large), "key", "inner" if rest else "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
     dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")))
     # a group in one piece is one comparison; a row of a larger one goes to each pair of pieces it is in
-    dealt = dealt.select("key", "piece", "probe", *rest, F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("piece", "other").alias("one"), F.greatest("piece", "other").alias("two"), "piece", "probe", *rest)
-    return dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "probe").mapInArrow(Compare(reach, bits), "a long, b long")
+    dealt = dealt.select("key", "piece", "probe", *own, F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("piece", "other").alias("one"), F.greatest("piece", "other").alias("two"), "piece", "probe", *own)
+    return dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "probe").mapInArrow(Compare(reach, bits, rest), "a long, b long")
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, shingle: int, block: int) -> tuple[DataFrame, DataFrame]:
@@ -372,12 +412,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rows = c.written(rows.mapInArrow(scan, f"id {kind}, rid long, " + ", ".join(f"{x} long" for x in names) + ", grams array<int>"), "shapes")
     classes = rows.groupBy("node").agg(*[F.first(x).alias(x) for x in names[1:]])
-    pairs = c.written(links(classes, block, NEAR_REACH, NEAR_BITS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
-
-    # the sets of the candidates alone, each once
-    met = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = c.written(rows.select("node", "grams").dropDuplicates(["node"]).join(met, "node", "left_semi"), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -385,8 +420,32 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ok = [similar(x[i].values.to_numpy().view(np.uint32), y[i].values.to_numpy().view(np.uint32), least) for i in range(part.num_rows)]
             yield part.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    linked = components(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
-    nodes = rows.select("node").distinct().join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    def alike(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Those of the pairs that are similar, with the nodes and the sets that are compared."""
+        # the sets of the candidates alone, each once
+        met = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        sets = c.written(rows.select("node", "grams").dropDuplicates(["node"]).join(met, "node", "left_semi"), "sets")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), met, sets
+
+    pairs = c.written(ordered(links(classes, block, NEAR_REACH, NEAR_BITS)), "pairs")
+    found, met, sets = alike(pairs)
+    linked = components(found)
+    c.forget(sets)
+    rooted = classes.join(linked, "node", "left").join(met.withColumn("met", F.lit(True)), "node", "left")
+    rooted = c.written(rooted.select(*names, F.coalesce("root", "node").alias("root"), F.coalesce("met", F.lit(False)).alias("met")), "rooted")
+
+    # what the stars left out, between groups that are not connected yet
+    more = c.written(ordered(links(rooted, block, NEAR_REACH, NEAR_BITS, rest=True)).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    c.forget(pairs)
+    nodes = rooted.select("node", "root")
+    if not more.isEmpty():
+        found, _, sets = alike(more)
+        root_of = lambda v: nodes.select(F.col("node").alias(v), F.col("root").alias(f"root_{v}"))
+        joined = components(found.join(root_of("a"), "a").join(root_of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        c.forget(sets)
+        nodes = nodes.join(joined.select(F.col("node").alias("root"), F.col("root").alias("least")), "root", "left").select("node", F.coalesce("least", "root").alias("root"))
+    c.forget(more)
     return rows.select("id", "rid", "node"), nodes
 
 
