@@ -157,3 +157,17 @@ def test_near_duplicates_of_a_large_group_are_those_of_all_candidates(spark):
     for i, r in got.items():
         mine.setdefault(r, set()).add(i)
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values())) and len(want) < 150
+
+
+def test_texts_are_held_in_bounded_runs():
+    """Long texts are runs by themselves, short ones run together; batches come in short stretches, whole."""
+    import pyarrow as pa
+
+    from tramline.llm.toxicity import HELD_CHARS, HELD_ROWS, pieces, runs
+
+    texts = ["a" * (HELD_CHARS + 5), "b", "c" * HELD_CHARS, "d", "e"]
+    got = list(runs(texts))
+    assert [t for own in got for t in own] == texts and [len(own) for own in got] == [1, 1, 1, 2] and list(runs([])) == []
+    part = pa.RecordBatch.from_arrays([pa.array(range(HELD_ROWS * 2 + 3))], names=["n"])
+    own = [p.column(0).to_pylist() for p in pieces(part)]
+    assert [n for p in own for n in p] == list(range(HELD_ROWS * 2 + 3)) and max(map(len, own)) == HELD_ROWS

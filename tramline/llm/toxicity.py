@@ -68,14 +68,36 @@ def letter(ch: str) -> int:
     return int(_CODES[ord(ch)]) if ord(ch) < 0x180 else 0
 
 
+#: Texts and characters that are held at once as objects of Python.
+HELD_ROWS, HELD_CHARS = 256, 1 << 20
+
+
+def pieces(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in short stretches, as its texts take several times their size as objects of Python."""
+    for at in range(0, part.num_rows, HELD_ROWS):
+        yield part.slice(at, HELD_ROWS)
+
+
+def runs(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in lists of about so many characters; a longer text is one by itself."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t) > HELD_CHARS:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
 def trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Counts (64, 64, 64) of letter trigrams over all texts; at most 64**3 rows come to the driver."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LETTERS**3, np.int64)
         for part in parts:
-            for at in range(0, part.num_rows, 256):
-                texts = [t for t in part.column(0).slice(at, 256).to_pylist() if t]
+            for texts in (own for piece in pieces(part) for own in runs([t for t in piece.column(0).to_pylist() if t])):
                 points = np.frombuffer("  ".join(["", *texts, ""]).encode("utf-32-le", "replace"), np.uint32)
                 code = _CODES[np.where(points < 0x180, points, 0)]
                 # two edges before a word, one after it
@@ -86,6 +108,7 @@ def trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                     total += np.bincount(d[starts], minlength=LETTERS**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
+        c.trim()
 
     rows = docs.select(text_col).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(LETTERS**3, np.int64)
@@ -224,11 +247,13 @@ def fit(docs: DataFrame, labels: DataFrame, counts: np.ndarray, rows: int = FIT_
 
     def tally(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, hits = Reader(counts), (Counter(), Counter())
-        for part in parts:
+        for part in (piece for whole in parts for piece in pieces(whole)):
             for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 hits[toxic > 0].update(reader.features(text))
         all_ = list(hits[0].keys() | hits[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(all_, pa.string()), pa.array([hits[1][w] for w in all_], pa.int64()), pa.array([hits[0][w] for w in all_], pa.int64())], names=["feature", "bad", "good"])
+        del reader, hits, all_  # before the memory is given back
+        c.trim()
 
     bad = train.where("toxic > 0").count()
     support = max(3, bad // 200)
@@ -237,9 +262,11 @@ def fit(docs: DataFrame, labels: DataFrame, counts: np.ndarray, rows: int = FIT_
 
     def matches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(counts)
-        for part in parts:
+        for part in (piece for whole in parts for piece in pieces(whole)):
             own = [sorted(reader.features(t) & found.keys()) for t in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string()))], names=["found"])
+        del reader
+        c.trim()
 
     rows_bad = [r.found for r in train.where("toxic > 0").select("text").mapInArrow(matches, "found array<string>").collect()]
     total = train.count()
@@ -297,7 +324,7 @@ def score(docs: DataFrame, model: dict, counts: np.ndarray, threshold: float = T
 
         def run_keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             reader, known = Reader(counts), {}
-            for part in parts:
+            for part in (piece for whole in parts for piece in pieces(whole)):
                 yield part.filter(pa.array([of(reader, known, t)[0] < threshold for t in part.column(at).to_pylist()], pa.bool_()))
             del reader, known  # before the memory is given back
             c.trim()
@@ -308,11 +335,13 @@ def score(docs: DataFrame, model: dict, counts: np.ndarray, threshold: float = T
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, known = Reader(counts), {}
-        for part in parts:
+        for part in (piece for whole in parts for piece in pieces(whole)):
             ids = part.column(0).to_pylist()
             got = [of(reader, known, t) for t in part.column(1).to_pylist()]
             s = [x for x, _ in got]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32()), pa.array([n for _, n in got], pa.int64())], names=[id_col, "held_out", "score", "predicted", "n_spaced"])
+        del reader, known
+        c.trim()
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int, n_spaced long")
 
