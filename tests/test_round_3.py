@@ -50,3 +50,23 @@ def test_plans_are_those_of_all_plans(spark):
         places = lambda rows: spark.createDataFrame(list(rows), "stop_id long, walk_s long")
         got = plan(spark.createDataFrame(calls, CALL), spark.createDataFrame(edges, WALK), places(access), places(egress.items()), 500, rides=3, longest=longest, count=count).collect()
         assert [(r.rides, r.start, r.arrival) for r in got] == best[:count], (seed, count)
+
+
+def test_candidates_of_large_groups_come_at_once(spark):
+    """pipeline: a large group with few candidates gives them all in the first comparison; one with many is named for the second."""
+    from tramline.llm.simhash import MOST, NEAR_BITS, NEAR_REACH, links
+
+    rnd = random.Random(7)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    near = lambda v: v ^ (1 << rnd.randrange(16, 64))
+    for clusters, size in ((40, 5), (1, 60)):
+        rows = []
+        for k in range(clusters):
+            middle, s0, s1 = rnd.getrandbits(64) >> 16 << 16, rnd.getrandbits(64), rnd.getrandbits(64)
+            rows += [(k * size + i, signed(near(middle)), signed(s0), signed(s1)) for i in range(size)]
+        got = links(spark.createDataFrame(rows, "node long, print long, s0 long, s1 long"), reach=NEAR_REACH, bits=NEAR_BITS).collect()
+        pairs = {(min(r.a, r.b), max(r.a, r.b)) for r in got if r.key is None}
+        every = {(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if a // size == b // size}
+        named = {r.key for r in got if r.key is not None}
+        assert 0 in named if len(every) > MOST * len(rows) else not named
+        assert named or pairs == every

@@ -21,12 +21,12 @@ filter lets through, at least 9 of 10.
 
 Distinct fingerprints stand for their documents, so exact copies make no pairs.
 Groups are compared in numpy and give at most a spanning forest of links, not
-their pairs; for near-duplicates groups up to ``SMALL`` give all candidates, larger
-ones first stars about the members that are nearest to what most have in common, as copies
-are nearer to their source than to each other.  Stars leave candidates out, so when
-their links are known, these groups are compared a second time, and give every candidate
-between what is not connected yet: the groups of near-duplicates are those of all
-candidates.  A group over ``BLOCK`` fingerprints is dealt out in pieces, and
+their pairs; for near-duplicates groups give all candidates as long as these are at most
+``MOST`` a row.  Only groups with more give first stars about the members that are nearest
+to what most have in common, as copies are nearer to their source than to each other.  Stars
+leave candidates out, so these groups are named, and when the links are known, they are
+compared a second time and give every candidate between what is not connected yet: the
+groups of near-duplicates are those of all candidates.  A group over ``BLOCK`` fingerprints is dealt out in pieces, and
 each pair of pieces is compared in a task of its own: no task holds more than
 two pieces, however common a segment is, and no link is lost.
 
@@ -63,6 +63,8 @@ WEIGHT = 3
 STARS = 3
 #: Groups up to this size are compared together.
 SMALL = 32
+#: Candidates a row up to which a larger group gives them all at once.
+MOST = 8
 _SALTS = np.array([0x8B7A1F3D5C6E9A01, 0xD1B54A32D192ED03], np.uint64)
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -147,7 +149,8 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 class Compare:
     """Comparisons of rows (key, one, two, piece, probe, node, print, and two numbers of bits or none).
 
-    Without ``bits`` what passes is a link.  With them it is a candidate, to be compared exactly.
+    Without ``bits`` what passes is a link.  With them it is a candidate, to be compared exactly,
+    and beside candidates (a, b, null) come the keys (null, null, key) of groups that gave stars alone.
     With ``rest`` rows go on with (root, met), and what stars may have left out is given.
     """
 
@@ -226,6 +229,23 @@ class Compare:
                     tried[i] = STARS
         return out
 
+    def every(self, rows: np.ndarray, left: np.ndarray) -> list[np.ndarray] | None:
+        """All candidates of one group, or None where they are more than MOST a row; where ``left`` is mixed, only pairs across it count."""
+        home, n = rows[:, 4] == 0, np.arange(len(rows))
+        mixed = not (left.all() or not left.any())
+        out, held = [], 0
+        for i in np.flatnonzero(home).tolist():
+            open_ = (~home | (n > i)) & (rows[:, 5] != rows[i, 5])  # two rows at home meet once
+            if mixed:
+                open_ &= left != left[i]
+            others = np.flatnonzero(open_)
+            if len(others) and len(at := self.within(rows, np.full(len(others), i), others)[0]):
+                out.append(np.stack([np.full(len(at), i), others[at]], axis=1))
+                held += len(at)
+                if held > MOST * len(rows):
+                    return None
+        return out
+
     def crossing(self, rows: np.ndarray, left: np.ndarray) -> Iterator[np.ndarray]:
         """All candidates of one group between different roots of which one was a candidate before: a star leaves no others out."""
         root, met, home, n = rows[:, 9], rows[:, 10] > 0, rows[:, 4] == 0, np.arange(len(rows))
@@ -276,8 +296,12 @@ class Compare:
         def batch() -> pa.RecordBatch:
             e = np.concatenate(edges)
             edges.clear()
-            return pa.RecordBatch.from_arrays([pa.array(rows[e[:, 0], 5]), pa.array(rows[e[:, 1], 5])], names=["a", "b"])
+            ends = [pa.array(rows[e[:, 0], 5]), pa.array(rows[e[:, 1], 5])]
+            if self.bits is None or self.rest:
+                return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+            return pa.RecordBatch.from_arrays([*ends, pa.nulls(len(e), pa.int32())], names=["a", "b", "key"])
 
+        starred: list[int] = []
         small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes) & (rows[:, 1] == rows[:, 2])
         at = np.flatnonzero(small)
         if len(at) and not self.rest:
@@ -297,11 +321,21 @@ class Compare:
                         yield batch()
                         held = 0
                 continue
-            found = (self.forest if self.bits is None else self.stars)(rows[s], rows[s, 3] == rows[heads[g], 1])
+            left = rows[s, 3] == rows[heads[g], 1]
+            if self.bits is None:
+                found = self.forest(rows[s], left)
+            elif (all_ := self.every(rows[s], left)) is not None:
+                edges += [e + heads[g] for e in all_]
+                continue
+            else:
+                found = self.stars(rows[s], left)
+                starred.append(int(rows[heads[g], 0]))
             if found:
                 edges.append(np.array(found) + heads[g])
         if edges:
             yield batch()
+        if starred:
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(starred), pa.int64()), pa.nulls(len(starred), pa.int64()), pa.array(starred, pa.int32())], names=["a", "b", "key"])
 
     def __call__(self, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -344,25 +378,28 @@ def spread(parts: Iterator[pa.RecordBatch], probes: bool) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int32)), pa.array(np.concatenate(probe)), *taken.columns], names=["key", "probe", *part.schema.names])
 
 
-def links(shapes: DataFrame, block: int = BLOCK, reach: int = REACH, bits: int | None = None, rest: bool = False) -> DataFrame:
+def links(shapes: DataFrame, block: int = BLOCK, reach: int = REACH, bits: int | None = None, rest: DataFrame | None = None) -> DataFrame:
     """Links (a, b) that connect the nodes of distinct rows (node, print) that are near; with ``bits`` candidates of rows (node, print, s0, s1).
 
-    With ``rest`` the candidates of rows (node, print, s0, s1, root, met) that the stars of large groups may have left out.
+    With ``bits`` come the keys of groups that gave stars alone, as rows (null, null, key).  With such keys as
+    ``rest`` the candidates of rows (node, print, s0, s1, root, met) that these stars may have left out.
     """
     own = shapes.columns
     kind = ", ".join(f"{x} {k}" for x, k in shapes.dtypes)
     keyed = shapes.mapInArrow(lambda parts: spread(parts, reach >= SEGMENTS), f"key int, probe boolean, {kind}")
     # at most 4 * 65,536 keys exist, and only those of large groups are sent out
     large = keyed.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).alias("pieces"))
-    if rest:
+    if rest is not None:
+        # as above, at most 4 * 65,536 keys
+        keyed = keyed.join(F.broadcast(rest), "key", "left_semi")
         sizes = keyed.groupBy("key").agg(F.count("*").alias("count"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("met").alias("met"))
         large = sizes.where((F.col("count") > SMALL) & F.col("met") & (F.col("low") < F.col("high"))).select("key", F.ceil(F.col("count") / block).alias("pieces"))
-    dealt = keyed.join(F.broadcast(large), "key", "inner" if rest else "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    dealt = keyed.join(F.broadcast(large), "key", "left" if rest is None else "inner").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
     dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")))
     # a group in one piece is one comparison; a row of a larger one goes to each pair of pieces it is in
     dealt = dealt.select("key", "piece", "probe", *own, F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("piece", "other").alias("one"), F.greatest("piece", "other").alias("two"), "piece", "probe", *own)
-    return dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "probe").mapInArrow(Compare(reach, bits, rest), "a long, b long")
+    return dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "probe").mapInArrow(Compare(reach, bits, rest is not None), "a long, b long" if bits is None or rest is not None else "a long, b long, key int")
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, shingle: int, block: int) -> tuple[DataFrame, DataFrame]:
@@ -428,16 +465,25 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), met, sets
 
-    pairs = c.written(ordered(links(classes, block, NEAR_REACH, NEAR_BITS)), "pairs")
+    first = c.written(links(classes, block, NEAR_REACH, NEAR_BITS), "first")
+    starred = c.written(first.where("key is not null").select("key").distinct(), "starred")
+    pairs = c.written(ordered(first), "pairs")
+    c.forget(first)
     found, met, sets = alike(pairs)
     linked = components(found)
     c.forget(sets)
+    if starred.isEmpty():
+        nodes = c.written(classes.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "rooted")
+        c.forget(starred)
+        c.forget(pairs)
+        return rows.select("id", "rid", "node"), nodes
     rooted = classes.join(linked, "node", "left").join(met.withColumn("met", F.lit(True)), "node", "left")
     rooted = c.written(rooted.select(*names, F.coalesce("root", "node").alias("root"), F.coalesce("met", F.lit(False)).alias("met")), "rooted")
 
     # what the stars left out, between groups that are not connected yet
-    more = c.written(ordered(links(rooted, block, NEAR_REACH, NEAR_BITS, rest=True)).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = c.written(ordered(links(rooted, block, NEAR_REACH, NEAR_BITS, rest=starred)).join(pairs, ["a", "b"], "left_anti"), "pairs")
     c.forget(pairs)
+    c.forget(starred)
     nodes = rooted.select("node", "root")
     if not more.isEmpty():
         found, _, sets = alike(more)
