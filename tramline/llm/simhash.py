@@ -308,12 +308,12 @@ class Compare:
             found = self.small_forests(rows[at], np.repeat(np.arange(len(heads)), sizes)[at], np.minimum(sizes, SMALL))
             if found:
                 edges.append(at[np.array(found)])
+        held = 0
         for g in np.flatnonzero(sizes > 1):
             if small[heads[g]]:
                 continue
             s = slice(heads[g], heads[g] + sizes[g])
             if self.rest:
-                held = 0
                 for found in self.crossing(rows[s], rows[s, 3] == rows[heads[g], 1]):
                     edges.append(found + heads[g])
                     held += len(found)
@@ -326,6 +326,10 @@ class Compare:
                 found = self.forest(rows[s], left)
             elif (all_ := self.every(rows[s], left)) is not None:
                 edges += [e + heads[g] for e in all_]
+                held += sum(map(len, all_))
+                if held > 1 << 20:
+                    yield batch()
+                    held = 0
                 continue
             else:
                 found = self.stars(rows[s], left)
@@ -461,7 +465,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Those of the pairs that are similar, with the nodes and the sets that are compared."""
         # the sets of the candidates alone, each once
         met = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = c.written(rows.select("node", "grams").dropDuplicates(["node"]).join(met, "node", "left_semi"), "sets")
+        sets = c.written(rows.select("node", "grams").join(met, "node", "left_semi").dropDuplicates(["node"]), "sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), met, sets
 
