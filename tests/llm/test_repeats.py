@@ -316,3 +316,78 @@ def test_keep_one(spark):
         assert kept == sorted([(0, rows[0][1]), (1, rows[1][1]), (2, rows[2][1]), (4, rows[4][1]), (7, rows[7][1]), (500, None), (503, "one two"), (505, "x y z x y z"), (505, "p q")], key=str)
         assert {tuple(r)[2:] for r in got.collect()} == {(1, 2, 3, "n")}
     assert keep_one(docs.limit(0)).count() == 0
+
+
+def test_near_copies_that_are_not_similar_are_not_listed(spark, monkeypatch):
+    """A large group of near copies, most pairs of it candidates and few of them links: no table holds its pairs, and all its links are found."""
+    from tramline.llm import _common as c
+    from tramline.llm import simhash
+
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 9))) for _ in range(3000)]
+    base, rows = [rnd.choice(words) for _ in range(300)], []
+    for n in range(400):
+        text = rows[n - 40][1].split() if n >= 360 else list(base)  # the last 40 are copies of others, with a word changed
+        for at in rnd.sample(range(300), 1 if n >= 360 else 2 if n < 60 else 6):
+            text[at] = rnd.choice(words)
+        rows.append((n, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held, written = [], c.written
+
+    def counted(df, name):
+        out = written(df, name)
+        if name not in ("shapes", "first", "dealt"):  # of these a row comes once for each key
+            held.append((out.count(), name))
+        return out
+
+    sets = shingle_sets(rows)
+    near = [(a, b) for a in sets for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8]
+    monkeypatch.setattr(c, "written", counted)
+    for block in (4096, 64):
+        held.clear()
+        got, nodes = simhash.near_components(docs, block=block)
+        root = {r.id: r.root for r in got.join(nodes, "node").collect()}
+        if block == 4096:  # stars of pieces are more
+            assert max(held)[0] < 50 * len(rows), held
+        assert sum(root[a] == root[b] for a, b in near) >= 0.9 * len(near)
+        up = {d: d for d in sets}
+
+        def find(v, up=up):
+            while up[v] != v:
+                v = up[v]
+            return v
+
+        for a, b in near:
+            up[find(a)] = find(b)
+        by_root = {}
+        for d, r in root.items():
+            assert by_root.setdefault(r, find(d)) == find(d)
+        assert 1 < len(by_root) < len(rows)
+
+
+def test_crossing_compares_by_sets():
+    """The sets of a group are compared as similar() does, empty ones too, whatever the filter lets through."""
+    import numpy as np
+    import pyarrow as pa
+    from tramline.llm.simhash import NEAR, Compare, similar
+
+    rnd = np.random.default_rng(5)
+    base = np.arange(60, dtype=np.int32)
+    sets = [np.zeros(0, np.int32), *[np.sort(rnd.choice(base, rnd.integers(40, 60), replace=False)) for _ in range(60)]]
+    n = len(sets)
+    rows = np.zeros((n, 11), np.int64)
+    rows[:, 5] = rows[:, 9] = np.arange(n)
+    rows[:, 10] = 1
+    grams = pa.concat_arrays([pa.array([[]], pa.list_(pa.int32())), pa.array([s.tolist() for s in sets[1:]], pa.list_(pa.int32()))])
+    found = Compare(10, 34, NEAR).crossing(rows, grams, np.ones(n, bool))
+    up = list(range(n))
+
+    def find(v):
+        while up[v] != v:
+            v = up[v]
+        return v
+
+    for i, j in found:
+        assert similar(sets[i].view(np.uint32), sets[j].view(np.uint32), NEAR) and find(i) != find(j)
+        up[find(i)] = find(j)
+    assert found and all(find(i) == find(j) for i in range(n) for j in range(i) if similar(sets[i].view(np.uint32), sets[j].view(np.uint32), NEAR))

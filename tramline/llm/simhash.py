@@ -25,10 +25,12 @@ their pairs; for near-duplicates groups give all candidates as long as these are
 ``MOST`` a row.  Only groups with more give first stars about the members that are nearest
 to what most have in common, as copies are nearer to their source than to each other.  Stars
 leave candidates out, so these groups are named, and when the links are known, they are
-compared a second time and give every candidate between what is not connected yet: the
+compared a second time, their rows with the sets: every candidate between what is not connected
+yet is compared exactly where it is found, and only links are given, fewer than rows.  The
 groups of near-duplicates are those of all candidates.  A group over ``BLOCK`` fingerprints is dealt out in pieces, and
 each pair of pieces is compared in a task of its own: no task holds more than
-two pieces, however common a segment is, and no link is lost.
+two pieces, however common a segment is, and no link is lost.  Sets are dealt out of the rows
+that a sketch lets through, so those that no comparison needs are not shuffled.
 
 Defined results.  A null, empty or blank text has fingerprint zero, linked like
 any other; for :func:`keep_one` all such texts are copies of each other.  Every row
@@ -51,6 +53,7 @@ from pyspark.sql import types as T
 
 from tramline.llm import _common as c
 from tramline.llm._components import components
+from tramline.llm._sketch import repeated, sketch, width
 
 SEGMENTS, BITS, REACH = 4, 16, 3
 #: Fingerprints in one piece of a large group.
@@ -65,6 +68,8 @@ STARS = 3
 SMALL = 32
 #: Candidates a row up to which a larger group gives them all at once.
 MOST = 8
+#: Shingles of a piece that is compared with its sets.
+HELD_GRAMS = 1 << 20
 _SALTS = np.array([0x8B7A1F3D5C6E9A01, 0xD1B54A32D192ED03], np.uint64)
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -151,10 +156,10 @@ class Compare:
 
     Without ``bits`` what passes is a link.  With them it is a candidate, to be compared exactly,
     and beside candidates (a, b, null) come the keys (null, null, key) of groups that gave stars alone.
-    With ``rest`` rows go on with (root, met), and what stars may have left out is given.
+    With ``rest``, a similarity, rows go on with (root, met, grams), and what stars may have left out is compared by the sets: links.
     """
 
-    def __init__(self, reach: int, bits: int | None = None, rest: bool = False):
+    def __init__(self, reach: int, bits: int | None = None, rest: float | None = None):
         self.reach, self.bits, self.rest = reach, bits, rest
 
     def within(self, rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,12 +251,17 @@ class Compare:
                     return None
         return out
 
-    def crossing(self, rows: np.ndarray, left: np.ndarray) -> Iterator[np.ndarray]:
-        """All candidates of one group between different roots of which one was a candidate before: a star leaves no others out."""
-        root, met, home, n = rows[:, 9], rows[:, 10] > 0, rows[:, 4] == 0, np.arange(len(rows))
+    def crossing(self, rows: np.ndarray, grams: pa.ListArray, left: np.ndarray) -> list[tuple[int, int]]:
+        """Links of one group that connect different roots, of all candidates of which one was a candidate before: a star leaves no others out."""
+        root, met, home, n = rows[:, 9].copy(), rows[:, 10] > 0, rows[:, 4] == 0, np.arange(len(rows))
         if not met.any() or (root == root[0]).all():
-            return
+            return []
         mixed = not (left.all() or not left.any())
+        kinds, flat = np.unique(grams.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        size = grams.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        begin = np.cumsum(size) - size
+        own = np.zeros(len(kinds), bool)
+        out = []
         for i in np.flatnonzero(home).tolist():
             open_ = (root != root[i]) & (~home | (n > i))  # two rows at home meet once
             if not met[i]:
@@ -259,8 +269,19 @@ class Compare:
             if mixed:
                 open_ &= left != left[i]
             others = np.flatnonzero(open_)
-            if len(others) and len(at := self.within(rows, np.full(len(others), i), others)[0]):
-                yield np.stack([np.full(len(at), i), others[at]], axis=1)
+            if not len(others) or not len(at := self.within(rows, np.full(len(others), i), others)[0]):
+                continue
+            near, mine = others[at], flat[begin[i] : begin[i] + size[i]]
+            ends = np.cumsum(size[near])
+            own[mine] = True
+            hits = np.concatenate(([0], np.cumsum(own[flat[np.repeat(begin[near] - ends + size[near], size[near]) + np.arange(ends[-1])]])))
+            own[mine] = False
+            both = hits[ends] - hits[ends - size[near]]
+            for j in near[both >= self.rest * (size[i] + size[near] - both)].tolist():
+                if root[j] != root[i]:
+                    out.append((i, j))
+                    root[root == root[j]] = root[i]
+        return out
 
     def small_forests(self, rows: np.ndarray, group: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
         """The same for many small groups at once, of candidates all: rows in order of group, probes last in each, compared at each distance."""
@@ -285,7 +306,7 @@ class Compare:
                 out.append((i, j))
         return out
 
-    def groups(self, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def groups(self, rows: np.ndarray, grams: pa.ListArray | None = None) -> Iterator[pa.RecordBatch]:
         """Links (a, b) of nodes; rows in order of the first five columns, each distinct triple of the first three is one comparison."""
         if not len(rows):
             return
@@ -297,14 +318,14 @@ class Compare:
             e = np.concatenate(edges)
             edges.clear()
             ends = [pa.array(rows[e[:, 0], 5]), pa.array(rows[e[:, 1], 5])]
-            if self.bits is None or self.rest:
+            if self.bits is None or grams is not None:
                 return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
             return pa.RecordBatch.from_arrays([*ends, pa.nulls(len(e), pa.int32())], names=["a", "b", "key"])
 
         starred: list[int] = []
         small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes) & (rows[:, 1] == rows[:, 2])
         at = np.flatnonzero(small)
-        if len(at) and not self.rest:
+        if len(at) and grams is None:
             found = self.small_forests(rows[at], np.repeat(np.arange(len(heads)), sizes)[at], np.minimum(sizes, SMALL))
             if found:
                 edges.append(at[np.array(found)])
@@ -313,16 +334,10 @@ class Compare:
             if small[heads[g]]:
                 continue
             s = slice(heads[g], heads[g] + sizes[g])
-            if self.rest:
-                for found in self.crossing(rows[s], rows[s, 3] == rows[heads[g], 1]):
-                    edges.append(found + heads[g])
-                    held += len(found)
-                    if held > 1 << 20:
-                        yield batch()
-                        held = 0
-                continue
             left = rows[s, 3] == rows[heads[g], 1]
-            if self.bits is None:
+            if grams is not None:
+                found = self.crossing(rows[s], grams[s], left)
+            elif self.bits is None:
                 found = self.forest(rows[s], left)
             elif (all_ := self.every(rows[s], left)) is not None:
                 edges += [e + heads[g] for e in all_]
@@ -342,23 +357,32 @@ class Compare:
             yield pa.RecordBatch.from_arrays([pa.nulls(len(starred), pa.int64()), pa.nulls(len(starred), pa.int64()), pa.array(starred, pa.int32())], names=["a", "b", "key"])
 
     def __call__(self, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, pa.Array | None]] = []
+
+        def groups() -> Iterator[pa.RecordBatch]:
+            rows, grams = np.concatenate([r for r, _ in held]), [x for _, x in held]
+            held.clear()
+            yield from self.groups(rows, None if self.rest is None else pa.concat_arrays(grams))
+
         for part in parts:
-            rows = np.stack([col.to_numpy(zero_copy_only=False).astype(np.int64) for col in part.columns], axis=1)
+            grams = None if self.rest is None else part.column(part.num_columns - 1)
+            rows = np.stack([col.to_numpy(zero_copy_only=False).astype(np.int64) for col in part.columns[: None if grams is None else -1]], axis=1)
             if not len(rows):
                 continue
             same = (rows[:, :3] == rows[-1, :3]).all(axis=1)
             tail = int(same.argmin()) if same.all() else len(rows) - int((~same[::-1]).argmax())
-            if held and (held[0][0, :3] != rows[0, :3]).any():
-                yield from self.groups(np.concatenate(held))
-                held = []
+            if held and (held[0][0][0, :3] != rows[0, :3]).any():
+                yield from groups()
             if same.all():
-                held.append(rows)
+                held.append((rows, grams))
                 continue
-            yield from self.groups(np.concatenate([*held, rows[:tail]]))
-            held = [rows[tail:]]
+            held.append((rows[:tail], None if grams is None else grams[:tail]))
+            yield from groups()
+            held.append((rows[tail:], None if grams is None else grams[tail:]))
         if held:
-            yield from self.groups(np.concatenate(held))
+            yield from groups()
+        if self.rest is not None:
+            c.trim()
 
 
 def spread(parts: Iterator[pa.RecordBatch], probes: bool) -> Iterator[pa.RecordBatch]:
@@ -382,28 +406,63 @@ def spread(parts: Iterator[pa.RecordBatch], probes: bool) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int32)), pa.array(np.concatenate(probe)), *taken.columns], names=["key", "probe", *part.schema.names])
 
 
-def links(shapes: DataFrame, block: int = BLOCK, reach: int = REACH, bits: int | None = None, rest: DataFrame | None = None) -> DataFrame:
+def sets_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, grams) once for each of the written nodes, of rows (node, grams, ...); a sketch spares the other sets the shuffle."""
+    cells = width(nodes.count())
+    keys = lambda part: part.column(0).to_numpy().view(np.uint64)
+    plane = sketch(nodes, lambda part: [np.repeat(keys(part), 2)], cells)
+
+    def likely(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield part.filter(pa.array(repeated(plane.value, keys(part), cells)))
+        c.trim()
+
+    return rows.select("node", "grams").mapInArrow(likely, "node long, grams array<int>").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _dealt(keyed: DataFrame, large: DataFrame, own: list[str], how: str) -> DataFrame:
+    """Rows once for each comparison (key, one, two); ``large`` has the pieces of keys."""
+    dealt = keyed.join(F.broadcast(large), "key", how).withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")))
+    # a group in one piece is one comparison; a row of a larger one goes to each pair of pieces it is in
+    dealt = dealt.select("key", "piece", "probe", *own, F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
+    return dealt.select("key", F.least("piece", "other").alias("one"), F.greatest("piece", "other").alias("two"), "piece", "probe", *own)
+
+
+def _compared(dealt: DataFrame, compare: Compare, kind: str) -> DataFrame:
+    return dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "probe").mapInArrow(compare, kind)
+
+
+def links(shapes: DataFrame, block: int = BLOCK, reach: int = REACH, bits: int | None = None) -> DataFrame:
     """Links (a, b) that connect the nodes of distinct rows (node, print) that are near; with ``bits`` candidates of rows (node, print, s0, s1).
 
-    With ``bits`` come the keys of groups that gave stars alone, as rows (null, null, key).  With such keys as
-    ``rest`` the candidates of rows (node, print, s0, s1, root, met) that these stars may have left out.
+    With ``bits`` come the keys of groups that gave stars alone, as rows (null, null, key).
     """
-    own = shapes.columns
     kind = ", ".join(f"{x} {k}" for x, k in shapes.dtypes)
     keyed = shapes.mapInArrow(lambda parts: spread(parts, reach >= SEGMENTS), f"key int, probe boolean, {kind}")
     # at most 4 * 65,536 keys exist, and only those of large groups are sent out
     large = keyed.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).alias("pieces"))
-    if rest is not None:
-        # as above, at most 4 * 65,536 keys
-        keyed = keyed.join(F.broadcast(rest), "key", "left_semi")
-        sizes = keyed.groupBy("key").agg(F.count("*").alias("count"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("met").alias("met"))
-        large = sizes.where((F.col("count") > SMALL) & F.col("met") & (F.col("low") < F.col("high"))).select("key", F.ceil(F.col("count") / block).alias("pieces"))
-    dealt = keyed.join(F.broadcast(large), "key", "left" if rest is None else "inner").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
-    dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")))
-    # a group in one piece is one comparison; a row of a larger one goes to each pair of pieces it is in
-    dealt = dealt.select("key", "piece", "probe", *own, F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("piece", "other").alias("one"), F.greatest("piece", "other").alias("two"), "piece", "probe", *own)
-    return dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "probe").mapInArrow(Compare(reach, bits, rest is not None), "a long, b long" if bits is None or rest is not None else "a long, b long, key int")
+    return _compared(_dealt(keyed, large, shapes.columns, "left"), Compare(reach, bits), "a long, b long" if bits is None else "a long, b long, key int")
+
+
+def rest_links(shapes: DataFrame, starred: DataFrame, rows: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between roots, of all candidates that the stars of the groups ``starred`` (key) may have left out.
+
+    ``shapes`` has (node, print, s0, s1, root, met, size), ``rows`` the sets (node, grams).
+    """
+    own = shapes.columns[:-1]
+    kind = ", ".join(f"{x} {k}" for x, k in shapes.dtypes)
+    # at most 4 * 65,536 keys, as in links()
+    keyed = shapes.mapInArrow(lambda parts: spread(parts, True), f"key int, probe boolean, {kind}").join(F.broadcast(starred), "key", "left_semi")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("count"), F.sum("size").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("met").alias("met"))
+    pieces = F.greatest(F.ceil(F.col("count") / block), F.ceil(F.col("size") / HELD_GRAMS))
+    large = sizes.where((F.col("count") > SMALL) & F.col("met") & (F.col("low") < F.col("high"))).select("key", pieces.alias("pieces"))
+    dealt = c.written(_dealt(keyed, large, own, "inner"), "dealt")
+    nodes = c.written(dealt.select("node").distinct(), "nodes")
+    full = dealt.join(sets_of(rows, nodes), "node").select(*dealt.columns, "grams")
+    out = c.written(_compared(full, Compare(NEAR_REACH, NEAR_BITS, least), "a long, b long"), "rest")
+    c.forget(dealt, nodes)
+    return out
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, shingle: int, block: int) -> tuple[DataFrame, DataFrame]:
@@ -446,13 +505,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for at in range(0, whole.num_rows, 256):
                 part = whole.slice(at, 256)
                 shapes, sets = shapes_of(part.column(2), shingle)
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+                size = np.array([len(x) for x in sets], np.int32)
+                ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
                 grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(np.ascontiguousarray(shapes[:, k]).view(np.int64)) for k in range(4)], grams], names=["id", "rid", *names, "grams"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(np.ascontiguousarray(shapes[:, k]).view(np.int64)) for k in range(4)], pa.array(size), grams], names=["id", "rid", *names, "size", "grams"])
         c.trim()
 
-    rows = c.written(rows.mapInArrow(scan, f"id {kind}, rid long, " + ", ".join(f"{x} long" for x in names) + ", grams array<int>"), "shapes")
-    classes = rows.groupBy("node").agg(*[F.first(x).alias(x) for x in names[1:]])
+    rows = c.written(rows.mapInArrow(scan, f"id {kind}, rid long, " + ", ".join(f"{x} long" for x in names) + ", size int, grams array<int>"), "shapes")
+    classes = rows.groupBy("node").agg(*[F.first(x).alias(x) for x in [*names[1:], "size"]])
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,41 +521,28 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ok = [similar(x[i].values.to_numpy().view(np.uint32), y[i].values.to_numpy().view(np.uint32), least) for i in range(part.num_rows)]
             yield part.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    def alike(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Those of the pairs that are similar, with the nodes and the sets that are compared."""
-        # the sets of the candidates alone, each once
-        met = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = c.written(rows.select("node", "grams").join(met, "node", "left_semi").dropDuplicates(["node"]), "sets")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), met, sets
-
-    first = c.written(links(classes, block, NEAR_REACH, NEAR_BITS), "first")
+    first = c.written(links(classes.select(*names), block, NEAR_REACH, NEAR_BITS), "first")
     starred = c.written(first.where("key is not null").select("key").distinct(), "starred")
     pairs = c.written(ordered(first), "pairs")
     c.forget(first)
-    found, met, sets = alike(pairs)
-    linked = components(found)
-    c.forget(sets)
-    if starred.isEmpty():
-        nodes = c.written(classes.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "rooted")
-        c.forget(starred)
-        c.forget(pairs)
-        return rows.select("id", "rid", "node"), nodes
+    # the sets of the candidates alone, each once
+    met = c.written(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "met")
+    sets = c.written(sets_of(rows, met), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    linked = components(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
+    c.forget(sets, pairs)
     rooted = classes.join(linked, "node", "left").join(met.withColumn("met", F.lit(True)), "node", "left")
-    rooted = c.written(rooted.select(*names, F.coalesce("root", "node").alias("root"), F.coalesce("met", F.lit(False)).alias("met")), "rooted")
-
-    # what the stars left out, between groups that are not connected yet
-    more = c.written(ordered(links(rooted, block, NEAR_REACH, NEAR_BITS, rest=starred)).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    c.forget(pairs)
-    c.forget(starred)
+    rooted = c.written(rooted.select(*names, F.coalesce("root", "node").alias("root"), F.coalesce("met", F.lit(False)).alias("met"), "size"), "rooted")
     nodes = rooted.select("node", "root")
-    if not more.isEmpty():
-        found, _, sets = alike(more)
-        root_of = lambda v: nodes.select(F.col("node").alias(v), F.col("root").alias(f"root_{v}"))
-        joined = components(found.join(root_of("a"), "a").join(root_of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-        c.forget(sets)
-        nodes = nodes.join(joined.select(F.col("node").alias("root"), F.col("root").alias("least")), "root", "left").select("node", F.coalesce("least", "root").alias("root"))
-    c.forget(more)
+    if not starred.isEmpty():
+        # what the stars left out, between groups that are not connected yet
+        more = rest_links(rooted, starred, rows, least, block)
+        if not more.isEmpty():
+            root_of = lambda v: nodes.select(F.col("node").alias(v), F.col("root").alias(f"root_{v}"))
+            joined = components(more.join(root_of("a"), "a").join(root_of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+            nodes = nodes.join(joined.select(F.col("node").alias("root"), F.col("root").alias("least")), "root", "left").select("node", F.coalesce("least", "root").alias("root"))
+        c.forget(more)
+    c.forget(starred, met)
     return rows.select("id", "rid", "node"), nodes
 
 
